@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,17 @@ def release(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, for clusters on which it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_markwright_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="markwright-")) / "markwright_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._markwright_shipped = True
