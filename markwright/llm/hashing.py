@@ -154,3 +154,35 @@ def batches(texts: list, limit: int = 4 * BLOCK):
             at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+class HashIndex:
+    """Open-addressed table from distinct 64-bit hashes to their positions."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.asarray(keys, U64)
+        bits = max(8, int(max(len(self.keys), 1) * 4 - 1).bit_length())
+        self.mask = U64((1 << bits) - 1)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        todo, at = np.arange(len(self.keys)), (self.keys & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = todo[free]
+            lost = self.slot[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & int(self.mask)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The position of each hash, -1 where absent."""
+        out = np.full(len(hashes), -1, np.int32)
+        at = (hashes & self.mask).astype(np.int64)
+        row = self.slot[at]
+        todo = np.flatnonzero(row >= 0)
+        at, row = at[todo], row[todo]
+        while len(todo):
+            hit = self.keys[row] == hashes[todo]
+            out[todo[hit]] = row[hit]
+            todo, at = todo[~hit], (at[~hit] + 1) & int(self.mask)
+            row = self.slot[at]
+            go = row >= 0
+            todo, at, row = todo[go], at[go], row[go]
+        return out
