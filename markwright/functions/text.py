@@ -33,6 +33,7 @@ TYPOGRAPHY = {
 }
 
 TOKEN = r"([A-Za-z0-9]+(?:'[A-Za-z]+)?|[^\sA-Za-z0-9\x0B\x1C-\x1F\x85\p{Z}])"
+PYTHON_TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z]+)?|[^\sA-Za-z0-9]"  # the same tokens where Python reads them
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"  # white space as Unicode has it, with the four information separators
 DOMAIN = "markwright"  # first part of every signed message
 
