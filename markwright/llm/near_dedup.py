@@ -92,7 +92,7 @@ def _bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place.setdefault(key, i)
         once = list(place.values())
         bands: list[np.ndarray | None] = [None] * len(texts)
-        for a, b in batches([texts[i] for i in once], 1 << 20):
+        for a, b in batches([texts[i] for i in once], 1 << 19):
             own = [texts[i] for i in once[a:b]]
             shingles, weights, at = weighted_shingles(own)
             for i, h, n in zip(once[a:b], band_hashes(signatures(shingles, weights, at)), np.diff(at), strict=True):
@@ -106,7 +106,7 @@ def _shingle_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = part.column("text").to_pylist()
         sets: list[bytes] = []
         weights: list[bytes] = []
-        for a, b in batches(texts, 1 << 20):
+        for a, b in batches(texts, 1 << 19):
             s, w, at = weighted_shingles(texts[a:b])
             for i in range(b - a):
                 sets.append(s[at[i] : at[i + 1]].astype("<u8").tobytes())
@@ -136,16 +136,25 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.sum(1 / (above / x + below / y))), plain
 
 
+def _views(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The values of a binary column as arrays that share its memory."""
+    if not len(column):
+        return []
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    size = np.dtype(kind).itemsize
+    return [np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.zeros(0, kind) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _similar(threshold: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keep = np.zeros(part.num_rows, bool)
-            cols = [part.column(c).to_pylist() for c in ("sa", "wa", "sb", "wb")]
-            for r, (sa, wa, sb, wb) in enumerate(zip(*cols, strict=True)):
-                if min(len(sa), len(sb)) and (wa or wb or min(len(sa), len(sb)) >= threshold * max(len(sa), len(sb))):
-                    a, b = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
-                    xa = np.frombuffer(wa, "<f4").astype(float) if wa else np.ones(len(a))
-                    xb = np.frombuffer(wb, "<f4").astype(float) if wb else np.ones(len(b))
+            columns = [_views(part.column(name), kind) for name, kind in (("sa", "<u8"), ("wa", "<f4"), ("sb", "<u8"), ("wb", "<f4"))]
+            for r, (a, wa, b, wb) in enumerate(zip(*columns, strict=True)):
+                if min(len(a), len(b)) and (len(wa) or len(wb) or min(len(a), len(b)) >= threshold * max(len(a), len(b))):
+                    xa = wa.astype(float) if len(wa) else np.ones(len(a))
+                    xb = wb.astype(float) if len(wb) else np.ones(len(b))
                     keep[r] = max(probability_jaccard(a, xa, b, xb)) >= threshold
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
