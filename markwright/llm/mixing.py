@@ -32,15 +32,15 @@ BROADCAST_SOURCES = 20_000
 
 
 def sized(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows with ``_size`` (words) and ``_u`` (uniform in (0, 1), from doc_id and seed)."""
+    """The rows with ``_mix_size`` (words) and ``_mix_u`` (uniform in (0, 1), from doc_id and seed)."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     bits = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)), 11)
-    return docs.withColumns({"_size": words, "_u": (bits + F.lit(0.5)) * F.lit(2.0**-53)})
+    return docs.withColumns({"_mix_size": words, "_mix_u": (bits + F.lit(0.5)) * F.lit(2.0**-53)})
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
-    """source, source_size, docs, target: one row for each source (windows over sources, not documents)."""
-    sources = rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    """source, _mix_words, _mix_docs, _mix_target: one row for each source (windows over sources, not documents)."""
+    sources = rows.groupBy("source").agg(F.sum("_mix_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
     capped = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(CAP))
@@ -52,67 +52,63 @@ def source_targets(rows: DataFrame) -> DataFrame:
     level = (F.lit(SHARE) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     # Counting too few or too many sources as capped can only lower that level, so the right one is the largest.
     chosen = capped.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    return chosen.select("source", "source_size", "docs", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+    return chosen.select("source", F.col("source_size").alias("_mix_words"), F.col("docs").alias("_mix_docs"), F.least("cap", F.col("level") * F.col("weight")).alias("_mix_target"))
 
 
 def _on_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
     """Join on source with nulls equal; ``table`` has one row for each source."""
-    own = table.withColumnRenamed("source", "_source")
-    return rows.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    own = table.withColumnRenamed("source", "_mix_source")
+    return rows.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
 
 
 def plan_mix(rows: DataFrame) -> tuple[DataFrame, bool]:
     """For each source: copies that are certain, and the range of u that holds the cut.
 
-    Rows with ``_u`` under ``_low`` get one more copy, rows from ``_high`` on none; between, ``_left`` words are to
+    Rows with ``_mix_u`` under ``_mix_low`` get one more copy, rows from ``_mix_high`` on none; between, ``_mix_left`` words are to
     be filled in rank order.  Also says whether the sources are few enough to broadcast.
     """
     targets = materialize(source_targets(rows), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    plan = targets.withColumn("_copies", copies).withColumns({"_left": F.col("target") - F.col("_copies") * F.col("source_size"), "_low": F.lit(0.0), "_high": F.lit(1.0), "_docs": F.col("docs")}).drop("docs")
-    while plan.agg(F.max("_docs")).first()[0] and plan.where((F.col("_docs") > 2 * NEAR) & (F.col("_low") < F.col("_high"))).limit(1).count():
-        plan = plan.withColumn("_fan", F.least(F.lit(FAN), F.ceil(F.col("_docs") / NEAR)).cast("int"))
-        width = (F.col("_high") - F.col("_low")) / F.col("_fan")
-        inside = _on_source(rows.select("source", "_size", "_u"), plan.select("source", "_low", "_high", "_fan"), few).where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
-        bucket = F.least(F.col("_fan") - 1, F.floor((F.col("_u") - F.col("_low")) / width).cast("int"))
-        words = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("in_bucket"))
+    words = F.col("_mix_words")
+    copies = F.when(words > 0, F.floor(F.col("_mix_target") / words)).otherwise(0).cast("int")
+    plan = targets.withColumn("_mix_copies", copies).withColumns({"_mix_left": F.col("_mix_target") - F.col("_mix_copies") * words, "_mix_low": F.lit(0.0), "_mix_high": F.lit(1.0)})
+    while plan.agg(F.max("_mix_docs")).first()[0] and plan.where((F.col("_mix_docs") > 2 * NEAR) & (F.col("_mix_low") < F.col("_mix_high"))).limit(1).count():
+        plan = plan.withColumn("_mix_fan", F.least(F.lit(FAN), F.ceil(F.col("_mix_docs") / NEAR)).cast("int"))
+        width = (F.col("_mix_high") - F.col("_mix_low")) / F.col("_mix_fan")
+        inside = _on_source(rows.select("source", "_mix_size", "_mix_u"), plan.select("source", "_mix_low", "_mix_high", "_mix_fan"), few).where((F.col("_mix_u") >= F.col("_mix_low")) & (F.col("_mix_u") < F.col("_mix_high")))
+        bucket = F.least(F.col("_mix_fan") - 1, F.floor((F.col("_mix_u") - F.col("_mix_low")) / width).cast("int"))
+        words = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("in_bucket"))
         upto = words.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))  # at most FAN rows each
-        crossing = _on_source(upto, plan, few).where(F.col("upto") > F.col("_left")).groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "in_bucket")).alias("c"))
-        crossing = crossing.withColumnRenamed("source", "_source")
-        joined = plan.join(crossing, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        low = F.col("_low") + F.col("c.bucket") * width
+        crossing = _on_source(upto, plan, few).where(F.col("upto") > F.col("_mix_left")).groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "in_bucket")).alias("c"))
+        crossing = crossing.withColumnRenamed("source", "_mix_source")
+        joined = plan.join(crossing, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+        low = F.col("_mix_low") + F.col("c.bucket") * width
         # Without a crossing all that is inside fits: the cut is at the upper end.
         plan = materialize(
-            joined.select("source", "source_size", "target", "_copies", F.when(F.col("c").isNull(), F.col("_left")).otherwise(F.col("_left") - (F.col("c.upto") - F.col("c.words"))).alias("_left"), F.coalesce(low, F.col("_high")).alias("_low"), F.when(F.col("c").isNull(), F.col("_high")).otherwise(F.when(F.col("c.bucket") == F.col("_fan") - 1, F.col("_high")).otherwise(low + width)).alias("_high"), F.coalesce(F.col("c.in_bucket"), F.lit(0)).alias("_docs")),
+            joined.select("source", "_mix_words", "_mix_target", "_mix_copies", F.when(F.col("c").isNull(), F.col("_mix_left")).otherwise(F.col("_mix_left") - (F.col("c.upto") - F.col("c.words"))).alias("_mix_left"), F.coalesce(low, F.col("_mix_high")).alias("_mix_low"), F.when(F.col("c").isNull(), F.col("_mix_high")).otherwise(F.when(F.col("c.bucket") == F.col("_mix_fan") - 1, F.col("_mix_high")).otherwise(low + width)).alias("_mix_high"), F.coalesce(F.col("c.in_bucket"), F.lit(0)).alias("_mix_docs")),
             "mix-plan",
         )
     return plan, few
 
 
-def mix_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (0, 1 or 2)."""
-    return mix_sized(sized(docs, seed))
-
-
 def mix_sized(rows: DataFrame) -> DataFrame:
-    names = [c for c in rows.columns if c not in ("_size", "_u")]
-    plan, few = plan_mix(materialize(rows.select("source", "_size", "_u"), "mix-sizes"))
-    planned = _on_source(rows, plan, few)
-    near = (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))
-    clear = planned.where(~near).withColumn("_extra", (F.col("_u") < F.col("_low")).cast("int"))
-    cut = planned.where(near).withColumn("_extra", F.lit(0))
+    """The rows of :func:`sized` with ``_mix_words`` and ``_mix_target`` of their source, and ``_mix_copies`` (0, 1 or 2)."""
+    plan, few = plan_mix(materialize(rows.select("source", "_mix_size", "_mix_u"), "mix-sizes"))
+    planned = _on_source(rows, plan, few).drop("_mix_docs")
+    near = (F.col("_mix_u") >= F.col("_mix_low")) & (F.col("_mix_u") < F.col("_mix_high"))
+    clear = planned.where(~near).withColumn("_mix_extra", (F.col("_mix_u") < F.col("_mix_low")).cast("int"))
+    cut = planned.where(near).withColumn("_mix_extra", F.lit(0))
     decided = clear.unionByName(cut.groupBy("source").applyInPandas(_fill, cut.schema))
-    return decided.select(*names, F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") + F.col("_extra")).cast("int").alias("copies"))
+    return decided.withColumn("_mix_copies", (F.col("_mix_copies") + F.col("_mix_extra")).cast("int")).drop("_mix_extra", "_mix_left", "_mix_low", "_mix_high", "_mix_u")
 
 
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    left = float(group["_left"].iloc[0])
-    share = min(max(left / max(float(group["_size"].sum()), 1.0), 1e-12), 1 - 1e-12)
-    odds = (group["_u"] / (1 - group["_u"])) / (share / (1 - share))
-    order = odds.to_frame("q").assign(d=group["doc_id"].fillna(-1), s=group["_size"]).sort_values(["q", "d", "s"], kind="stable").index
+    left = float(group["_mix_left"].iloc[0])
+    share = min(max(left / max(float(group["_mix_size"].sum()), 1.0), 1e-12), 1 - 1e-12)
+    odds = (group["_mix_u"] / (1 - group["_mix_u"])) / (share / (1 - share))
+    order = odds.to_frame("q").assign(d=group["doc_id"].fillna(-1), s=group["_mix_size"]).sort_values(["q", "d", "s"], kind="stable").index
     group = group.loc[order].reset_index(drop=True)
-    size, extra = group["_size"].to_numpy(), group["_extra"].to_numpy(copy=True)
+    size, extra = group["_mix_size"].to_numpy(), group["_mix_extra"].to_numpy(copy=True)
     for i, s in enumerate(size):
         if s <= left:
             extra[i] = 1
@@ -120,18 +116,18 @@ def _fill(group: pd.DataFrame) -> pd.DataFrame:
     closer = [(s, i) for i, s in enumerate(size) if not extra[i] and s - left < left]
     if closer:
         extra[min(closer)[1]] = 1
-    group["_extra"] = extra
+    group["_mix_extra"] = extra
     return group
 
 
 def mixed_rows(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    mixed = mix_documents(docs, seed).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    mixed = mix_sized(sized(docs, seed)).where("_mix_copies > 0")
+    return mixed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)
 
 
-def mixture(docs: DataFrame) -> DataFrame:
+def mixture(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
-    rows = sized(docs.select("doc_id", "text", "source")).drop("text")
-    mixed = mix_sized(rows)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    mixed = mix_sized(sized(docs.select("doc_id", "text", "source"), seed).drop("text"))
+    size = F.col("_mix_size")
+    return mixed.select("doc_id", size.alias("size"), F.col("_mix_words").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * size).alias("taken"))
