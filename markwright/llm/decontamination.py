@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.hashing import SHINGLE, U64, HashIndex, batches, shingle_hashes, token_hashes
+from markwright.llm.sampling import bounded_batches
 
 ITEMS = 10_000
 RADIUS = 23
@@ -161,6 +162,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word for each item that a document holds."""
+    bounded_batches(docs.sparkSession)
     found = None
     for items in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -179,6 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; one pass over the rows for each block of items."""
+    bounded_batches(docs.sparkSession)
     for items in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

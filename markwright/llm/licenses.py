@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from markwright.llm.hashing import SHINGLE, U64, HashIndex, batches, mix, shingle_hashes, token_hashes
+from markwright.llm.sampling import bounded_batches
 
 BANDS = 24
 THRESHOLD = 0.8
@@ -135,6 +136,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """doc_id, license, containment, first_word, end_word for each template that a document holds."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates can be broadcast")
+    bounded_batches(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates(templates, threshold)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.hashing import U64, batches, mix, shingle_hashes, token_hashes
+from markwright.llm.sampling import bounded_batches
 from markwright.session import materialize, release
 
 BANDS, ROWS = 32, 7
@@ -211,6 +212,7 @@ def text_key(docs: DataFrame):
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text").withColumn("key", text_key(docs))
     found = materialize(keyed.where(F.col("text").isNotNull()).mapInArrow(_bands, "doc_id long, key binary, bands array<long>"), "bands")
     texts = found.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))

@@ -4,7 +4,7 @@ Tokens are words (in their own case) and runs of punctuation; unigrams and bigra
 ``2**bits`` slots, weighted by ``1 + log(count)`` and scaled to unit length.  Training is FTRL-proximal, one update
 for each example and weight.  A score is the logistic of a sparse dot product.
 
-The fit uses at most ``max_rows`` labelled rows (those with the smallest hash of doc_id, so reruns
+The fit uses about ``max_rows`` labelled rows at most (those with the smallest hashes of doc_id, so reruns
 agree and the sample is uniform); their features are made on the executors and one task learns
 from them.  The model has a fixed size (``2**bits`` floats), whatever the input, and is broadcast.  Scoring covers every whole text.
 
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.hashing import U64, batches, mix, token_hashes
+from markwright.llm.sampling import bounded_batches, hash_sample
 
 BITS = 18
-MAX_ROWS = 20_000
+MAX_ROWS = 12_000
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.0
 UPDATES = 100_000  # examples learned from at least, in whole passes over the sample
@@ -76,21 +77,26 @@ def train(sample: DataFrame, bits: int = BITS) -> np.ndarray:
     def prepare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part["text"].tolist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, 1 << 19):
                 slots, values, at = features([t if isinstance(t, str) else None for t in texts[a:b]], bits)
                 cut = [(slots[at[i] : at[i + 1]].astype("<i4").tobytes(), values[at[i] : at[i + 1]].astype("<f4").tobytes()) for i in range(b - a)]
                 yield pd.DataFrame({"rank": part["rank"].iloc[a:b].to_numpy(), "label": part["label"].iloc[a:b].to_numpy(), "slots": [c[0] for c in cut], "values": [c[1] for c in cut]})
 
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"rank": [], "label": [], "slots": [], "values": []}), *parts]).sort_values(["rank", "slots"])
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for part in parts:
+            columns = (part.column(c).to_pylist() for c in ("rank", "slots", "label", "values"))
+            rows += [(rank, slots, float(label), np.frombuffer(values, "<f4")) for rank, slots, label, values in zip(*columns, strict=True)]
+        rows.sort(key=lambda r: r[:3])
         model = Ftrl(1 << bits)
         for _ in range(-(-UPDATES // max(len(rows), 1))):
-            for label, slots, values in zip(rows["label"], rows["slots"], rows["values"], strict=True):
-                model.learn(np.frombuffer(slots, "<i4"), np.frombuffer(values, "<f4").astype(float), float(label))
-        yield pd.DataFrame({"weights": [model.weights(np.arange(len(model.z))).astype("<f4").tobytes()]})
+            for _, slots, label, values in rows:
+                model.learn(np.frombuffer(slots, "<i4"), values.astype(float), label)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights(np.arange(len(model.z))).astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
     prepared = sample.mapInPandas(prepare, "rank long, label int, slots binary, values binary")
-    return np.frombuffer(prepared.coalesce(1).mapInPandas(fit, "weights binary").first()[0], "<f4")
+    row = prepared.repartition(1).mapInArrow(fit, "weights binary").first()
+    return np.frombuffer(row[0], "<f4") if row else np.zeros((1 << bits) + 1, "<f4")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -100,9 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     are filtered where they are read.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
-    rank = F.xxhash64(F.col("doc_id"), F.lit(11))
-    few = own.withColumn("rank", rank).orderBy("rank", "doc_id", "label").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label", "rank")  # at most max_rows rows
+    few = hash_sample(own, F.col("doc_id"), 11, max_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label", "rank")  # about max_rows rows at most
 
 
 def held_out(doc_id):
@@ -119,7 +124,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
         for part in parts:
             texts = part.column("text").to_pylist()
             out = np.full(len(texts), w[-1])
-            for a, b in batches(texts):
+            for a, b in batches(texts, 1 << 19):
                 slots, values, at = features(texts[a:b], bits)
                 row = np.repeat(np.arange(b - a), np.diff(at))
                 out[a:b] += np.bincount(row, w[slots] * values, b - a)
@@ -131,6 +136,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` with ``score`` and ``predicted``; columns of those names are replaced."""
+    bounded_batches(docs.sparkSession)
     weights = train(labelled_sample(docs, labels, max_rows))
     scored = score(docs.drop("score", "predicted"), weights)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
