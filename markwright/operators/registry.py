@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from markwright.functions import ed25519, text
 from markwright.operators import retrieval
+from markwright.session import materialize
 
 RECORD = "id long, canonical_hash string, text string, model string, created string, signature binary"
 DIFF = "array<struct<op:string,original:string,suspect:string,orig_tokens:struct<start:int,end:int>,susp_tokens:struct<start:int,end:int>>>"
@@ -119,7 +120,7 @@ def verify(suspects: DataFrame, records: DataFrame, index: DataFrame | None = No
     sentences (doc_id is a record id there); the top hit counts if its score reaches the threshold or two
     of its sentences match strongly, and is then compared word by word.
     """
-    canon = suspects.withColumn("canon", text.canonicalize(F.col("text")))
+    canon = materialize(suspects.select("doc_id", "text", text.canonicalize(F.col("text")).alias("canon")), "suspects")  # three branches read it
     hashed = canon.withColumn("canonical_hash", text.canonical_hash(F.col("canon")))
     found = lookup(hashed, records)
     empty = F.array().cast(DIFF)

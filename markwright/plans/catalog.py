@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwright.functions import ed25519, prf, stats, text
-from markwright.operators import attacks, detect, evaluate, ngrams, registry, retrieval
+from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval, transport
 from markwright.operators.config import EXAMPLE_KEY
 from markwright.plans import oracle as o
 from markwright.session import materialize
@@ -363,8 +363,8 @@ _ZW = attacks.ZERO_WIDTH
 
 @query(
     f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents), e AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS word FROM w),
-c AS (SELECT *, {_unit("'0'", "doc_id::VARCHAR", "'zw'", "i::VARCHAR")} AS u, floor({_unit("'0'", "doc_id::VARCHAR", "'zw-at'", "i::VARCHAR")} * (length(word) - 1))::INT + 1 AS at, floor({_unit("'0'", "doc_id::VARCHAR", "'zw-kind'", "i::VARCHAR")} * 3)::INT + 1 AS kind FROM e)
-SELECT doc_id, string_agg(CASE WHEN length(word) > 2 AND u < 0.5 THEN substr(word, 1, at) || substr('{_ZW}', kind, 1) || substr(word, at + 1) ELSE word END, ' ' ORDER BY i) AS attacked_text FROM c GROUP BY doc_id"""
+c AS (SELECT *, {_unit("'0'", "doc_id::VARCHAR", "'zw'", "i::VARCHAR")} AS u, floor({_unit("'0'", "doc_id::VARCHAR", "'zw-at'", "i::VARCHAR")} * (length(word) - 1))::INT + 1 AS spot, floor({_unit("'0'", "doc_id::VARCHAR", "'zw-kind'", "i::VARCHAR")} * 3)::INT + 1 AS kind FROM e)
+SELECT doc_id, string_agg(CASE WHEN length(word) > 2 AND u < 0.5 THEN substr(word, 1, spot) || substr('{_ZW}', kind, 1) || substr(word, spot + 1) ELSE word END, ' ' ORDER BY i) AS attacked_text FROM c GROUP BY doc_id"""
 )
 def attack_zero_width(spark, sf_dir):
     return attacks.apply(_docs(spark, sf_dir), attacks.Attack("zw", "zero_width", "2", {"p": 0.5})).select("doc_id", "attacked_text")
@@ -376,8 +376,8 @@ _PLAIN, _ALIKE = "".join(attacks.LOOK_ALIKE), "".join(attacks.LOOK_ALIKE.values(
 @query(
     f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents), e AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS word FROM w),
 p AS (SELECT *, list_filter(range(1, length(word) + 1), lambda k: contains('{_PLAIN}', substr(word, k, 1))) AS places, {_unit("'0'", "doc_id::VARCHAR", "'hg'", "i::VARCHAR")} AS u FROM e),
-c AS (SELECT *, places[floor({_unit("'0'", "doc_id::VARCHAR", "'hg-at'", "i::VARCHAR")} * len(places))::INT + 1] AS at FROM p)
-SELECT doc_id, string_agg(CASE WHEN u < 0.3 AND len(places) > 0 THEN substr(word, 1, at - 1) || translate(substr(word, at, 1), '{_PLAIN}', '{_ALIKE}') || substr(word, at + 1) ELSE word END, ' ' ORDER BY i) AS attacked_text FROM c GROUP BY doc_id"""
+c AS (SELECT *, places[floor({_unit("'0'", "doc_id::VARCHAR", "'hg-at'", "i::VARCHAR")} * len(places))::INT + 1] AS spot FROM p)
+SELECT doc_id, string_agg(CASE WHEN u < 0.3 AND len(places) > 0 THEN substr(word, 1, spot - 1) || translate(substr(word, spot, 1), '{_PLAIN}', '{_ALIKE}') || substr(word, spot + 1) ELSE word END, ' ' ORDER BY i) AS attacked_text FROM c GROUP BY doc_id"""
 )
 def attack_homoglyph(spark, sf_dir):
     return attacks.apply(_docs(spark, sf_dir), attacks.Attack("hg", "homoglyph", "2", {"p": 0.3})).select("doc_id", "attacked_text")
@@ -449,6 +449,96 @@ def verify_passages(spark, sf_dir):
     index = materialize(retrieval.embedded(retrieval.sentences(records.select(F.col("id").alias("doc_id"), text.canonicalize(F.col("text")).alias("canon")))), "index")
     own = records.select(F.col("id").alias("doc_id"), "text")
     kinds = [attacks.SWEEP[0], attacks.SWEEP[3], attacks.Attack("truncate 20 tokens", "truncate", "2", {"n": 20})]
-    attacked = attacks.sweep(own, kinds).select(F.xxhash64("attack", "doc_id").alias("doc_id"), F.col("attacked_text").alias("text"))
+    attacked = materialize(attacks.sweep(own, kinds), "attacked").select(F.xxhash64("attack", "doc_id").alias("doc_id"), F.col("attacked_text").alias("text"))
     foreign = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
     return registry.verify(attacked.unionByName(foreign), records, index, ed25519.public_key(_SECRET)).select("doc_id", "status", "record_id", "similarity", "signature_valid", "changed_fraction")
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS l FROM documents), e AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS word FROM w),
+z AS (SELECT doc_id, max((length(word) > 2 AND {_unit("'0'", "doc_id::VARCHAR", "'zw'", "i::VARCHAR")} < 0.5)::INT) AS c FROM e GROUP BY doc_id),
+h AS (SELECT doc_id, max(({_unit("'0'", "doc_id::VARCHAR", "'hg'", "i::VARCHAR")} < 0.3 AND len(list_filter(range(1, length(word) + 1), lambda k: contains('{_PLAIN}', substr(word, k, 1)))) > 0)::INT) AS c FROM e GROUP BY doc_id)
+SELECT 'homoglyph p=0.3' AS attack, count(*) AS n, sum(c) AS changed FROM h UNION ALL SELECT 'zero_width p=0.5', count(*), sum(c) FROM z UNION ALL SELECT 'identity', count(*), 0 FROM documents"""
+)
+def attack_sweep_summary(spark, sf_dir):
+    """How many documents each of three edits changes."""
+    docs = _docs(spark, sf_dir)
+    out = attacks.sweep(docs, [attacks.SWEEP[i] for i in (0, 2, 3)])
+    joined = out.join(docs, "doc_id")
+    return joined.groupBy("attack").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("attacked_text") != F.col("text")).cast("long")).alias("changed"))
+
+
+def _model(spark, sf_dir):
+    """Vocabulary and model of the conversations."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    tokens = ngrams.token_table(ngrams.canonical_docs(turns))
+    vocab = materialize(ngrams.vocabulary(tokens), "vocab")
+    rows = materialize(ngrams.encode(tokens, vocab), "encoded")
+    grams = ngrams.ngram_rows(rows)
+    return vocab, generate.NGramModel.from_tables(vocab, ngrams.unigram_probs(rows, vocab), ngrams.bigram_counts(grams), ngrams.trigram_counts(grams))
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+@query()
+def generate_marked(spark, sf_dir):
+    """Forty marked tokens after the first tokens of each benchmark passage."""
+    vocab, model = _model(spark, sf_dir)
+    tokens = _items(spark, sf_dir).select("doc_id", F.posexplode(F.slice(text.tokenize(F.col("text")), 1, 8)).alias("pos", "token"))
+    prompts = ngrams.encode(tokens, vocab).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tok_id"))).alias("t")).select("doc_id", F.col("t.tok_id").alias("prompt"))
+    return generate.generate(prompts.repartition(spark.sparkContext.defaultParallelism, "doc_id"), model, 40, EXAMPLE_KEY)
+
+
+@query()
+def transport_couplings(spark, sf_dir):
+    """Information and status of the coupling for the model's distribution after each token of the benchmark's first contexts."""
+    vocab, model = _model(spark, sf_dir)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(parts):
+        import numpy as np
+        import pandas as pd
+
+        for part in parts:
+            rows = []
+            for doc_id, tokens in zip(part["doc_id"], part["tokens"], strict=True):
+                ids = shared.value.encode(list(tokens))[:3]
+                p = shared.value.next_token_dist(ids)
+                seeds = prf.np_seeds(EXAMPLE_KEY, tuple(ids))
+                rho = np.bincount(prf.np_blocks(seeds["partition"], len(p), 32), p, 32)
+                found = transport.solve(rho, prf.np_costs(seeds["cost"], 32, 16), transport.entropy(p), 0.5, 16)
+                rows.append((doc_id, transport.entropy(p), found.beta_achieved, found.status, found.iterations))
+            yield pd.DataFrame(rows, columns=["doc_id", "entropy", "beta_achieved", "status", "iterations"])
+
+    tokens = _items(spark, sf_dir).select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
+    return tokens.mapInPandas(run, "doc_id long, entropy double, beta_achieved double, status string, iterations int")
+
+
+def _edited(spark, sf_dir, attack):
+    return attacks.apply(_items(spark, sf_dir), attack, _model(spark, sf_dir)[1]).select("doc_id", "attacked_text", "meta")
+
+
+@query()
+def attack_rewrite(spark, sf_dir):
+    return _edited(spark, sf_dir, attacks.SWEEP[5]).withColumn("meta", F.col("meta")["changed"])
+
+
+@query()
+def attack_insert(spark, sf_dir):
+    return _edited(spark, sf_dir, attacks.SWEEP[8]).withColumn("meta", F.col("meta")["inserted"])
+
+
+@query()
+def attack_piggyback(spark, sf_dir):
+    return _edited(spark, sf_dir, attacks.SWEEP[12]).withColumn("meta", F.col("meta")["k"])
+
+
+@query()
+def token_diff(spark, sf_dir):
+    """Word diff of each benchmark passage with its rewritten form."""
+    items = _items(spark, sf_dir)
+    edited = attacks.apply(items, attacks.SWEEP[5], _model(spark, sf_dir)[1]).select("doc_id", text.canonicalize(F.col("attacked_text")).alias("suspect"))
+    pairs = items.select("doc_id", text.canonicalize(F.col("text")).alias("original")).join(edited, "doc_id")
+    return registry.with_diff(pairs).select("doc_id", F.size("diff").alias("spans"), F.round("changed_fraction", 9).alias("changed_fraction"))
