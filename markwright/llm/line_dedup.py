@@ -55,6 +55,7 @@ class LineRuns:
     def __init__(self, fanout: int = 2) -> None:
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
+        self.retired: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -85,11 +86,16 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merged = self._merged(self.levels[level])
-            for old in self.levels[level]:
-                release(old)
+            self.retired += self.levels[level]
             self.levels[level] = []
             self._push(merged, level + 1)
 
+    def vacuum(self) -> None:
+        """Delete the files of runs that have been merged; runs handed out by :meth:`add` end here."""
+        for old in self.retired:
+            release(old)
+        self.retired = []
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         every = runs[0].select("a", "b", "n_docs", "owner")
@@ -115,6 +121,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 3) ->
     store = LineRuns()
     for i in range(batches):
         store.add(hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+        store.vacuum()
     heavy = store.totals().where(F.col("n_docs") >= min_docs).select("a", "b", "owner")
     drops = hashes.join(heavy, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
     drops = materialize(drops.withColumnRenamed("doc_id", "_doc"), "line-drops")
