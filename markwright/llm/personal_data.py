@@ -13,7 +13,7 @@ document's other tokens that hold a digit or an at sign; all other tokens are O
   entity agree across the document.
 
 Weights are trained by pseudo-likelihood (a softmax of a node's features and of its neighbours'
-labels) on the tokens of at most ``MAX_ROWS`` documents, labelled by their base spans.  Inference is loopy
+labels) on the tokens of about ``MAX_ROWS`` documents at most, labelled by their base spans.  Inference is loopy
 belief propagation, ``ROUNDS`` synchronous rounds; a node whose best label is not O with at least ``SURE`` becomes a
 span, joined with such neighbours of its label.  Edges are linear in the tokens: repeats form chains, not cliques.
 
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markwright.llm.sampling import bounded_batches, hash_sample
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_ROWS = 20_000
 MAX_TOKENS = 200_000
@@ -255,13 +257,8 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
 
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Field:
-    """Fit on the documents with the smallest hashes of doc_id (and text, for ties)."""
-    rank = F.xxhash64(F.col("doc_id"), F.lit(17))
-    own = docs.where(F.col("text").isNotNull()).select("text", rank.alias("rank"))
-    upto = own.select("rank").orderBy("rank").limit(max_rows).agg(F.max("rank")).first()[0]
-    field = Field()
-    if upto is None:
-        return field
+    """Fit on the documents with the smallest hashes of doc_id; only their parts with tokens meet in one task."""
+    few = hash_sample(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), F.col("doc_id"), 17, max_rows)
 
     def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -281,12 +278,14 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Field:
         model.fit(graphs)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    few = own.where(F.col("rank") <= upto).orderBy("rank", "text")
-    return pickle.loads(few.select("text").mapInArrow(learn, "text string").coalesce(1).mapInArrow(shrink, "model binary").first()[0])
+    seen = few.select("text").mapInArrow(learn, "text string").repartition(1).sortWithinPartitions("text")
+    row = seen.mapInArrow(shrink, "model binary").first()
+    return pickle.loads(row[0]) if row else Field()
 
 
 def find_personal_data(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, max_rows))  # a few thousand weights
 
