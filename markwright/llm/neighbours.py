@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from markwright.llm.sampling import hash_sample
 from markwright.session import materialize
 
 K = 20
@@ -170,7 +171,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, sure: float = SURE
     if not count:
         return spark.createDataFrame([], schema)
     largest = top * (1 + 1e-9)
-    sample = vectors.select("vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()
+    sample = hash_sample(vectors, F.col("key"), 3, SAMPLE).orderBy("rank", "key").select("vec").toPandas()
     matrix = np.random.default_rng(seed).standard_normal((size + 1, DIMS))
 
     def lifted(vecs: np.ndarray) -> np.ndarray:
