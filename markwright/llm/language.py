@@ -7,9 +7,9 @@ characters first, then one less, down to single letters.  Words carry a boundary
 ends for n-grams of two or more.  A text's language has the highest sum over its words; the score is its
 share after a softmax of the sums.
 
-Bounds: counts are taken over the at most ``max_rows`` training rows with the smallest hash of
-doc_id; the model keeps the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` n-grams of each length, so what
-is broadcast has a fixed size.  Prediction covers every whole text.
+Bounds: counts are taken over the about ``max_rows`` training rows with the smallest hashes of
+doc_id; the model keeps the most frequent words and n-grams of each length, at most ``MAX_WORDS`` and ``MAX_GRAMS``,
+so what is broadcast has a fixed size.  Prediction covers every whole text.
 
 Defined results: a null text, one without a letter, and any text when nothing could be learned give
 ``und`` with score 0; rows with a null doc_id count as a doc_id of null that never teaches; ties between languages
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.hashing import U64, HashIndex, batches, mix
+from markwright.llm.sampling import bounded_batches, hash_sample
 from markwright.session import materialize
 
 MAX_ROWS = 20_000
@@ -164,18 +165,23 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.xxhash64("doc_id", F.lit(13))
-    upto = own.select(rank.alias("rank")).orderBy("rank").limit(max_rows).agg(F.max("rank")).first()[0]
-    if upto is None:
-        return None
-    few = own.where(rank <= upto).select("text", "lang")
+    few = hash_sample(own.select("doc_id", "text", "lang"), F.col("doc_id"), 13, max_rows).select("text", "lang")
     counts = few.mapInArrow(_counted, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
     by_hash = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
     by_hash = materialize(by_hash, "language-counts")
     langs = sorted(r[0] for r in few.select("lang").distinct().collect())
+    if not langs:
+        return None
+    # Whole classes of equally frequent entries are kept from the top, as many as fit; only those reach the driver.
+    least: dict[int, int] = {}
+    room = {n: MAX_GRAMS if n else MAX_WORDS for n in range(MAX_N + 1)}
+    for r in by_hash.groupBy("n", "total").count().orderBy("n", F.desc("total")).collect():
+        room[r["n"]] -= r["count"]
+        if room[r["n"]] >= 0:
+            least[r["n"]] = r["total"]
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in range(MAX_N + 1):
-        rows = by_hash.where(F.col("n") == n).orderBy(F.desc("total"), "hash").limit(MAX_GRAMS if n else MAX_WORDS)
+        rows = by_hash.where((F.col("n") == n) & (F.col("total") >= least.get(n, 1 << 62)))
         got = rows.select("hash", F.array(*[F.coalesce(F.col("by")[k], F.lit(0)) for k in langs]).alias("counts")).toPandas()
         by = np.array(got["counts"].tolist(), float).reshape(len(got), len(langs))
         found[n] = (got["hash"].to_numpy(np.int64).astype(U64), by)
@@ -206,6 +212,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
+    bounded_batches(docs.sparkSession)
     model = train(docs.select("doc_id", "text", "lang"), max_rows)
     found = predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
