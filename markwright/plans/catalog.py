@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwright.functions import ed25519, prf, stats, text
-from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval, transport
+from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval
 from markwright.operators.config import EXAMPLE_KEY
 from markwright.plans import oracle as o
 from markwright.session import materialize
@@ -493,27 +493,10 @@ def generate_marked(spark, sf_dir):
 
 @query()
 def transport_couplings(spark, sf_dir):
-    """Information and status of the coupling for the model's distribution after each token of the benchmark's first contexts."""
+    """The coupling, its information and its status for the model's distribution after each token of each whole benchmark passage."""
     vocab, model = _model(spark, sf_dir)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(parts):
-        import numpy as np
-        import pandas as pd
-
-        for part in parts:
-            rows = []
-            for doc_id, tokens in zip(part["doc_id"], part["tokens"], strict=True):
-                ids = shared.value.encode(list(tokens))[:3]
-                p = shared.value.next_token_dist(ids)
-                seeds = prf.np_seeds(EXAMPLE_KEY, tuple(ids))
-                rho = np.bincount(prf.np_blocks(seeds["partition"], len(p), 32), p, 32)
-                found = transport.solve(rho, prf.np_costs(seeds["cost"], 32, 16), transport.entropy(p), 0.5, 16)
-                rows.append((doc_id, transport.entropy(p), found.beta_achieved, found.status, found.iterations))
-            yield pd.DataFrame(rows, columns=["doc_id", "entropy", "beta_achieved", "status", "iterations"])
-
     tokens = _items(spark, sf_dir).select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
-    return tokens.mapInPandas(run, "doc_id long, entropy double, beta_achieved double, status string, iterations int")
+    return generate.couplings(tokens.repartition(spark.sparkContext.defaultParallelism, "doc_id"), model, EXAMPLE_KEY)
 
 
 def _edited(spark, sf_dir, attack):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from markwright.cli import build_model, demo
 from markwright.functions import ed25519, prf, text
-from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval
+from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval, transport
 from markwright.operators.config import EXAMPLE_KEY, MarkConfig
+from markwright.plans import catalog
 from markwright.session import materialize
 from markwright.sources import corpus
 from markwright.streaming import detect as streaming
@@ -232,3 +233,25 @@ def test_demo_report(spark, docs, tmp_path):
 def test_fingerprint_does_not_depend_on_order(docs):
     assert corpus.model_fingerprint(docs, 10) == corpus.model_fingerprint(docs.repartition(3), 10) != corpus.model_fingerprint(docs, 11)
     assert len(hashlib.sha256(b"").hexdigest()) == 64
+
+
+def test_couplings_cover_every_position_of_whole_texts(spark, model):
+    lm, c = model[1], MarkConfig()
+    texts = {1: lm.tokens[1:12], 2: ["the", "of", "the", "of", "the", "of", "zzzz"], 3: ["the"], 4: [], 5: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, tokens array<string>")
+    found = {(r["doc_id"], r["pos"]): r for r in generate.couplings(docs, lm, EXAMPLE_KEY).collect()}
+    assert set(found) == {(d, t) for d, tokens in texts.items() for t in range(len(tokens or []))}
+    for (d, t), r in found.items():
+        ids = lm.encode(texts[d][: t + 1])
+        p = lm.next_token_dist(ids)
+        seeds = prf.np_seeds(EXAMPLE_KEY, tuple(ids[-3:]))
+        rho = np.bincount(prf.np_blocks(seeds["partition"], len(p), 32), p, 32)
+        direct = transport.solve(rho, prf.np_costs(seeds["cost"], 32, 16), transport.entropy(p), c.beta, 16)
+        assert (r["status"], r["iterations"]) == (direct.status, direct.iterations)
+        assert np.allclose(r["coupling"], direct.coupling, atol=1e-12) and r["beta_achieved"] == pytest.approx(direct.beta_achieved)
+
+
+def test_the_couplings_query_has_every_token_of_the_benchmark(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), F.posexplode(text.tokenize(F.col("text"))).alias("pos", "token"))
+    found = [tuple(r) for r in catalog.QUERIES["transport_couplings"](spark, SF).select("doc_id", "pos").collect()]
+    assert sorted(found) == sorted(tuple(r) for r in items.select("doc_id", "pos").collect())
