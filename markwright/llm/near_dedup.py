@@ -5,13 +5,15 @@ exponential arrivals: each shingle emits a Poisson process whose rate is its wei
 random one of ``BANDS * ROWS`` components, and a component keeps the shingle that arrives first.
 Two signatures agree in a component with the probability Jaccard similarity of the bags.  A
 shingle stops once its next arrival is later than the latest component's first (early termination).
+A text that repeats a shingle has a second signature, of the same shingles with weight 1, whose components agree
+with the plain Jaccard similarity; for all other texts the two are the same.
 
-Equal texts are collapsed first.  Texts that share a band's hash meet in a bucket.  All pairs of a
+Equal texts are collapsed first.  Texts that share a hash of a band of either signature meet in a bucket.  All pairs of a
 bucket are never listed: a text is first verified against the least doc_id it meets.  Then, in buckets that
 still hold several groups, the texts outside the bucket's largest group are compared with all others by
-their signatures: both sides travel as packed blocks of about ``PACK`` texts, and a pair is listed only once, in the first
-band it shares, and only if its texts are of different groups and the signatures agree in ``ESTIMATE`` of the
-components or more.  At similarity 0.8 they do with probability 0.9996; the listed pairs are verified exactly.
+their signatures: both sides travel as packed blocks of about ``PACK`` texts, and a pair is listed only once, in the bucket
+of the least hash it shares, and only if its texts are of different groups and the weighted or the plain signatures agree in
+``ESTIMATE`` of the components or more.  At similarity 0.8, of either kind, they do with probability 0.9996; the listed pairs are verified exactly.
 
 Two texts are linked if their probability Jaccard similarity, or the plain Jaccard similarity of their shingle
 sets, computed exactly from the shingles, is at least the threshold.  Groups are the connected components of the links,
@@ -79,6 +81,14 @@ def signatures(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray, s
     return winner.reshape(texts, size)
 
 
+def plain_signatures(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that repeat a shingle, and their signatures with all weights 1."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    repeats = np.bincount(row, weights > 1, len(offsets) - 1) > 0
+    own, sizes = shingles[repeats[row]], np.diff(offsets)[repeats]
+    return np.flatnonzero(repeats), signatures(own, np.ones(len(own)), np.concatenate([[0], np.cumsum(sizes)]))
+
+
 def band_hashes(signature: np.ndarray) -> np.ndarray:
     bands = signature.reshape(len(signature), BANDS, ROWS)
     total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), bands.shape[:2]).copy()
@@ -88,7 +98,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def _bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, bands; null bands for texts without words.  Copies within a batch are worked out once."""
+    """doc_id, key, bands (of both signatures); null bands for texts without words.  Copies within a batch are worked out once."""
     for part in parts:
         keys, texts = part.column("key").to_pylist(), part.column("text").to_pylist()
         place: dict[bytes, int] = {}
@@ -101,12 +111,16 @@ def _bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, weights, at = weighted_shingles(own)
             for i, h, n in zip(once[a:b], band_hashes(signatures(shingles, weights, at)), np.diff(at), strict=True):
                 bands[i] = h if n else None
+            repeats, plain = plain_signatures(shingles, weights, at)
+            for i, h in zip(repeats.tolist(), band_hashes(plain), strict=True):
+                bands[once[a + i]] = np.concatenate([bands[once[a + i]], h])
         found = pa.array([bands[place[k]] for k in keys], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), found], names=["doc_id", "key", "bands"])
 
 
 def _shingle_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, shingles, weights (empty if all are 1), marks: a byte for each component of the signature and the bands' hashes."""
+    """doc_id, shingles, weights (empty if all are 1), marks: a byte for each component of the signature and the bands' hashes,
+    then the same of the plain signature if it differs."""
     for part in parts:
         texts = part.column("text").to_pylist()
         columns: list[list[bytes]] = [[], [], []]
@@ -119,6 +133,10 @@ def _shingle_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns[0].append(s[at[i] : at[i + 1]].astype("<u8").tobytes())
                 columns[1].append(b"" if some.max(initial=1) == 1 else some.astype("<f4").tobytes())
                 columns[2].append(own[i].tobytes() + bands[i].tobytes())
+            repeats, plain = plain_signatures(s, w, at)
+            own, bands = mix(plain).astype(np.uint8), band_hashes(plain).astype("<i8")
+            for k, i in enumerate(repeats.tolist()):
+                columns[2][i - (b - a)] += own[k].tobytes() + bands[k].tobytes()
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "shingles", "weights", "marks"])
 
 
@@ -235,20 +253,26 @@ def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = BANDS * ROWS
 
     def unpack(block: list[dict]) -> tuple[np.ndarray, ...]:
-        marks = np.frombuffer(b"".join(x["marks"] for x in block), np.uint8).reshape(len(block), -1)
-        return np.array([x["doc"] for x in block]), np.array([x["label"] for x in block]), marks[:, :size], marks[:, size:].copy().view("<i8")
+        whole = 2 * (size + 8 * BANDS)
+        marks = np.frombuffer(b"".join(x["marks"] if len(x["marks"]) == whole else x["marks"] * 2 for x in block), np.uint8).reshape(len(block), 2, -1)
+        repeats = np.array([len(x["marks"]) == whole for x in block])
+        return np.array([x["doc"] for x in block]), np.array([x["label"] for x in block]), repeats, marks[:, :, :size], marks[:, :, size:].copy().view("<i8")
 
     for part in parts:
         found: list[tuple[int, int]] = []
         for bucket, out, every in zip(*(part.column(c) for c in ("bucket", "out", "every")), strict=True):
             key, others = bucket.as_py(), every.as_py()
-            ids, labels, signs, bands = unpack(others)
+            ids, labels, repeats, signs, bands = unpack(others)
             outside = np.array([x["outside"] for x in others])
-            for doc, label, sign, band in zip(*unpack(out.as_py()), strict=True):
+            for doc, label, repeat, sign, band in zip(*unpack(out.as_py()), strict=True):
                 todo = np.flatnonzero((labels != label) & ~(outside & (ids < doc)))  # of two outsiders the lesser looks
-                near = todo[(signs[todo] == sign).sum(axis=1) >= ESTIMATE * size]
-                first = (bands[near] == band).argmax(axis=1)
-                found += [(min(doc, x), max(doc, x)) for x in ids[near[band[first] == key]].tolist()]
+                close = (signs[todo, 0] == sign[0]).sum(axis=1) >= ESTIMATE * size
+                more = np.flatnonzero(~close & (repeats[todo] | repeat))
+                close[more] = (signs[todo[more], 1] == sign[1]).sum(axis=1) >= ESTIMATE * size
+                near = todo[close]
+                # either signature of one text may meet either of the other
+                shared = np.concatenate([np.where(bands[near, i] == band[j], band[j], np.iinfo(np.int64).max) for i in (0, 1) for j in (0, 1)], axis=1)
+                found += [(min(doc, x), max(doc, x)) for x in ids[near[shared.min(axis=1) == key]].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 

@@ -103,6 +103,37 @@ def test_a_chain_of_near_copies_in_one_bucket_is_one_group(spark):
     assert all(found[i] == i for i in range(100, 130))
 
 
+def test_plain_jaccard_pairs_with_unlike_repeats_are_linked(spark):
+    """Each base has three variants: one meets it first, the others differ from both by repeated lines."""
+    rng = random.Random(11)
+    texts, groups = [], []
+    for g in range(60):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(64 if g % 2 else 124)]
+        line = [f"r{g}_{i}" for i in range(6)]
+        other = [f"q{g}_{i}" for i in range(6)]
+        own = [base, base + line * (50 if g % 2 else 20), base + other * 40]
+        groups.append([len(texts) + i for i in range(3)])
+        texts += [" ".join(t) for t in own]
+    sets = [set(shingles(words(t))) for t in texts]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, *rest in groups for b in rest)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[d] == g[0] for g in groups for d in g)
+
+
+def test_the_signature_test_lists_plain_pairs_of_open_buckets_once(spark):
+    rng = random.Random(5)
+    texts = []
+    for g in range(20):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(64)]
+        texts += [" ".join(base), " ".join(base + [f"r{g}_{i}" for i in range(6)] * 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = docs.mapInArrow(near_dedup._shingle_sets, "doc_id long, shingles binary, weights binary, marks binary")
+    bands = docs.selectExpr("doc_id", "text", "unhex(md5(text)) AS key").mapInArrow(near_dedup._bands, "doc_id long, key binary, bands array<long>")
+    members = bands.selectExpr("doc_id AS doc", "explode(bands) AS bucket").distinct()
+    groups = spark.createDataFrame([], "node long, label long")
+    assert sorted(tuple(r) for r in near_dedup._unsettled(members, groups, sets).collect()) == [(i, i + 1) for i in range(0, 40, 2)]
+
+
 def test_probability_jaccard():
     a, b = np.array([1, 2, 3], np.uint64), np.array([2, 3, 4], np.uint64)
     wa, wb = np.array([1.0, 2.0, 1.5]), np.array([1.0, 3.0, 2.0])
