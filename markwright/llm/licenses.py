@@ -1,16 +1,22 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
 A template of n words belongs to the class with the least stride s >= n (a power of two, 8 at
-least).  A document is read in windows of 2 s words that start every s words, so each run of n words
-lies whole in some window.  A window that holds a whole template has a Jaccard similarity with
-it of at least (n - 4) / (2 s - 4) on five-word shingles.  Bands are single MinHash values, so that
-with ``BANDS`` = 24 a similarity of 0.2 still collides with probability 1 - 0.8**24 = 0.995; a template at more than half
-its stride collides with 0.9999.  To keep small templates above this, strides start at 8.
+least).  A document is read in windows of 2 s shingles that start every s words, so each run of n words
+lies whole in some window.
+
+Templates of up to ``EXACT`` = 16 words are few shingles in a wide window, too few for MinHash.  They are looked up exactly: a window that
+holds ``need`` of a template's k distinct shingles holds one of any k - need + 1 of them, so each place of one of those
+makes the windows over it candidates, and none is missed.
+
+Longer templates (n > s / 2, so s >= 32 and n >= 17) are retrieved by MinHash.  With k = n - 4 shingles (no repeats), of which a window holds c, the Jaccard
+similarity is c / (2 s + k - c) at least.  Bands are single MinHash values, so ``BANDS`` = 48 find it with probability
+1 - (1 - J)**48.  The worst verified case is containment 0.8 at n = 17, s = 32: c = 11, k = 13, J = 1/6, probability 0.9998; whole
+templates and the wider classes lie above it.
 Candidates are verified by the exact share of the template's distinct shingles that the window holds; 0.8
 or more is a match.
 
 Block minima are formed once, for the least stride, and merged for the wider ones.  Templates of
-less than five words are one shingle of all their words, searched the same way with shingles of
+less than five words are one shingle of all their words, looked up with shingles of
 that width.  Templates are few and fixed (``MAX_TEMPLATES`` is checked) and are broadcast; nothing is shuffled.
 
 Defined results: null texts, empty texts and templates without words match nothing; repeated rows
@@ -28,9 +34,10 @@ from pyspark.sql import DataFrame
 from markwright.llm.hashing import SHINGLE, U64, HashIndex, batches, mix, shingle_hashes, token_hashes
 from markwright.llm.sampling import bounded_batches
 
-BANDS = 24
+BANDS = 48
 THRESHOLD = 0.8
 BASE = 8
+EXACT = 16
 MAX_TEMPLATES = 5_000
 
 # Short notices and opening or operative passages of widely used licenses.
@@ -78,7 +85,18 @@ class Templates:
                 bag = np.unique(shingle_hashes(words, at)[0])
                 self.classes.setdefault((min(n, SHINGLE), stride), []).append((name, bag))
         self.tables = {}
+        self.lookups = {}
+        for width in {w for w, s in self.classes if s <= EXACT}:
+            holders: dict[int, list[tuple[int, int]]] = {}
+            for stride in sorted(s for w, s in self.classes if w == width and s <= EXACT):
+                for t, (_, bag) in enumerate(self.classes[width, stride]):
+                    enough = np.arange(1, len(bag) + 1) / len(bag) >= threshold
+                    for h in bag[: enough.sum()].tolist():
+                        holders.setdefault(h, []).append((stride, t))
+            self.lookups[width] = (HashIndex(np.array(list(holders), U64)), list(holders.values()))
         for key, own in self.classes.items():
+            if key[1] <= EXACT:
+                continue
             values = np.stack([_minhash(bag, np.zeros(1, np.int64))[:, 0] for _, bag in own])  # template, band
             index = [np.unique(values[:, k], return_inverse=True) for k in range(BANDS)]
             self.tables[key] = [(HashIndex(v), [np.flatnonzero(of == i) for i in range(len(v))]) for v, of in index]
@@ -89,10 +107,36 @@ class Templates:
         best: dict[tuple[int, str], tuple[float, int, int]] = {}
         for width in sorted({w for w, _ in self.classes}):
             runs, at = shingle_hashes(words, offsets, width)
-            if len(runs):
+            if len(runs) and width in self.lookups:
+                self._find(width, runs, at, np.diff(offsets), best)
+            if len(runs) and any(w == width and s > EXACT for w, s in self.classes):
                 self._scan(width, runs, at, np.diff(offsets), best)
         return [(row, name, *found) for (row, name), found in sorted(best.items())]
 
+    def _find(self, width, runs, at, n_words, best) -> None:
+        """The short templates, by exact lookup of shingles."""
+        index, holders = self.lookups[width]
+        found = index.find(runs)
+        seen: dict[int, set[tuple[int, int, int]]] = {}
+        for p in np.flatnonzero(found >= 0).tolist():
+            r = int(np.searchsorted(at, p, "right")) - 1
+            for stride, t in holders[found[p]]:
+                block = (p - int(at[r])) // stride
+                seen.setdefault(stride, set()).update((r, w, t) for w in (block - 1, block) if w >= 0)
+        for stride, places in seen.items():
+            for r, w, t in sorted(places):
+                self._verify(width, stride, r, w, t, runs, at, n_words, best)
+
+    def _verify(self, width, stride, r, w, t, runs, at, n_words, best) -> None:
+        """Takes window ``w`` of text ``r`` if it holds enough of the template and more than the best one so far."""
+        name, bag = self.classes[width, stride][t]
+        a = at[r] + w * stride
+        window = runs[a : min(a + 2 * stride, at[r + 1])]
+        share = float(np.isin(bag, window).mean())
+        if share >= self.threshold and share > best.get((r, name), (0.0,))[0]:
+            place = np.flatnonzero(np.isin(window, bag)) + w * stride
+            best[r, name] = (share, int(place[0]), int(min(place[-1] + width, n_words[r])))
+
     def _scan(self, width, runs, at, n_words, best) -> None:
         size = np.diff(at)
         blocks = -(-size // BASE)
@@ -106,7 +150,7 @@ class Templates:
             # a window is two blocks; the last one of a text stands alone
             pair = least.copy()
             pair[:, :-1] = np.where(row[1:] == row[:-1], np.minimum(least[:, :-1], least[:, 1:]), least[:, :-1])
-            if (width, stride) in self.classes:
+            if (width, stride) in self.tables:
                 self._look(width, stride, pair, row, number, runs, at, n_words, best)
             if stride >= top:
                 return
@@ -115,21 +159,13 @@ class Templates:
             stride *= 2
 
     def _look(self, width, stride, pair, row, number, runs, at, n_words, best) -> None:
-        own = self.classes[width, stride]
         seen: set[tuple[int, int]] = set()
         for k, (index, members) in enumerate(self.tables[width, stride]):
             found = index.find(pair[k])
             for w in np.flatnonzero(found >= 0):
                 seen.update((int(w), int(t)) for t in members[found[w]])
         for w, t in sorted(seen):
-            name, bag = own[t]
-            r = int(row[w])
-            a = at[r] + number[w] * stride
-            window = runs[a : min(a + 2 * stride, at[r + 1])]
-            share = float(np.isin(bag, window).mean())
-            if share >= self.threshold and share > best.get((r, name), (0.0,))[0]:
-                place = np.flatnonzero(np.isin(window, bag)) + number[w] * stride
-                best[r, name] = (share, int(place[0]), int(min(place[-1] + width, n_words[r])))
+            self._verify(width, stride, int(row[w]), int(number[w]), t, runs, at, n_words, best)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -198,6 +198,22 @@ def test_licenses_match_brute_force(docs, rows):
     assert {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()} >= expected
 
 
+@pytest.mark.parametrize("share", [1.0, 0.8])
+def test_licenses_are_found_at_every_offset(share):
+    """Whole short templates, and templates of 9 to 70 words cut to the least share that matches, in running text."""
+    rng = random.Random(2)
+    long = {f"words-{n}": " ".join(f"t{n}_{i}" for i in range(n)) for n in (9, 12, 16, 17, 18, 33, 65, 70)}
+    fixed = {k: v for k, v in licenses.TEMPLATES.items() if share == 1.0}
+    own = licenses.Templates(long | fixed)
+    for name, template in (long | fixed).items():
+        given = template.split()
+        k = max(len(given) - 4, 1)
+        cut = given[: min(i for i in range(1, k + 1) if i / k >= share) + 4] if share < 1 else given
+        texts = [" ".join([*(f"a{rng.randrange(10**6)}" for _ in range(20 + i)), *cut, *(f"b{rng.randrange(10**6)}" for _ in range(150))]) for i in range(140)]
+        hit = {r for r, found, *_ in own.matches(texts) if found == name}
+        assert len(hit) == 140 if len(given) <= licenses.EXACT else len(hit) >= 139, name
+
+
 CASES = [
     "mail a.b@c.de, x@y@z.com @q u@v w..x@1.2.3 ip 1.2.3.4.5.6.7.8 300.1.2.3 0001.002.3.4 1.2.3",
     "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111x phone +1 (743) 555-3824 +12 +1234567890123456 ++1 222 333 4444",
