@@ -40,20 +40,36 @@ BASE = 8
 EXACT = 16
 MAX_TEMPLATES = 5_000
 
-# Short notices and opening or operative passages of widely used licenses.
+# Short notices, the usual short forms, and opening or operative passages of widely used licenses.  A line
+# gives a row for each template that it holds.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "apache-available": "Available under the Apache License",
+    "apache-distributed": "Distributed under the Apache License",
+    "apache-provided": "Provided under the Apache License",
+    "apache-released": "Released under the Apache License",
+    "apache-2.0-short": "under the Apache 2.0 License",
+    "bsd-2-short": "under the BSD 2-Clause License",
+    "bsd-3-short": "under the BSD 3-Clause License",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-licensed": "Licensed under the BSD License",
+    "bsd-released": "Released under the BSD License",
+    "bsd-short": "under the BSD License",
     "cc-by-4.0": "Licensed under CC BY 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
     "gpl-2.0": "licensed under the GNU General Public License, version 2",
     "gpl-3.0": "licensed under the GNU General Public License, version 3",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-released": "Released under the GNU General Public License",
+    "gpl-short": "under the GNU General Public License",
+    "gpl-abbreviated": "under the GPL",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-released": "Released under the MIT License",
+    "mit-under": "under the MIT License",
     "mit-short": "Licensed under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",

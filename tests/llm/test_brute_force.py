@@ -214,6 +214,20 @@ def test_licenses_are_found_at_every_offset(share):
         assert len(hit) == 140 if len(given) <= licenses.EXACT else len(hit) >= 139, name
 
 
+def test_short_forms_of_licenses_match():
+    lines = ["Released under the MIT License.", "Code under the MIT License", "Released under the Apache License", "distributed under the Apache 2.0 License", "released under the GNU General Public License", "free under the GPL.", "Released under the BSD License", "sold under the BSD 3-Clause License"]
+    found = licenses.Templates(licenses.TEMPLATES).matches(["some words first. " + line + " and some after" for line in lines])
+    kinds = ["mit", "mit", "apache", "apache", "gpl", "gpl", "bsd", "bsd"]
+    assert {(r, name.split("-")[0]) for r, name, *_ in found} == set(enumerate(kinds))
+
+
+def test_every_license_line_of_the_tables_matches(spark):
+    line = re.compile(r"\b(?:licensed|released|distributed) under\b|\ball rights reserved\b", re.I)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = {r["doc_id"] for r in table.select("doc_id", "text").collect() if line.search(r["text"] or "")}
+    assert expected and {r["doc_id"] for r in licenses.scan_licenses(table).collect()} >= expected
+
+
 CASES = [
     "mail a.b@c.de, x@y@z.com @q u@v w..x@1.2.3 ip 1.2.3.4.5.6.7.8 300.1.2.3 0001.002.3.4 1.2.3",
     "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111x phone +1 (743) 555-3824 +12 +1234567890123456 ++1 222 333 4444",
