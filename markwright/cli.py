@@ -36,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
         if name == "generate":
             p.add_argument("--prompt", default="")
             p.add_argument("--tokens", type=int, default=200)
-            p.add_argument("--no-watermark", action="store_true")
+            p.add_argument("--unmarked", action="store_true")
         if name in ("detect", "localize"):
             p.add_argument("--file")
             p.add_argument("--alpha", type=float, default=ALPHA)
@@ -136,7 +136,7 @@ def main(argv: list[str] | None = None) -> int:
         _, model = build_model(docs, args.backend)
         tokens = corpus.one_text(spark, args.prompt).select(text.tokenize(text.canonicalize(F.col("text")))).first()[0]
         prompt = spark.createDataFrame([(0, model.encode(tokens))], "doc_id long, prompt array<int>")
-        ids = generate.generate(prompt, model, args.tokens, None if args.no_watermark else key, _config(args), args.seed).first()["ids"]
+        ids = generate.generate(prompt, model, args.tokens, None if args.unmarked else key, _config(args), args.seed).first()["ids"]
         print(spark.createDataFrame([([model.tokens[i] for i in ids],)], "t array<string>").select(text.detokenize(F.col("t"))).first()[0])
         return 0
     vocab = ngrams.vocabulary(ngrams.token_table(ngrams.canonical_docs(docs)))

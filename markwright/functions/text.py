@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters without a visible form that canonical text drops.
-ZERO_WIDTH = "​‌‍‎‏⁠⁡⁢⁣⁤﻿­᠎͏"
+ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\u00ad\u180e\u034f"
 
 # Look-alikes and the Latin letters they stand for.
 CONFUSABLES = {
@@ -29,7 +29,7 @@ TYPOGRAPHY = {
     "“": '"', "”": '"', "„": '"', "‟": '"', "«": '"', "»": '"',
     "‘": "'", "’": "'", "‚": "'", "‛": "'", "‹": "'", "›": "'",
     "–": "-", "—": "-", "‒": "-", "‐": "-", "‑": "-", "−": "-", "…": "...",
-    " ": " ", " ": " ", " ": " ", " ": " ", "　": " ", " ": "\n", " ": "\n",
+    "\u00a0": " ", "\u2009": " ", "\u200a": " ", "\u202f": " ", "\u3000": " ", "\u2028": "\n", "\u2029": "\n",
 }
 
 TOKEN = r"([A-Za-z0-9]+(?:'[A-Za-z]+)?|[^\sA-Za-z0-9\x0B\x1C-\x1F\x85\p{Z}])"

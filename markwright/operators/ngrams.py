@@ -14,9 +14,15 @@ def canonical_docs(docs: DataFrame, compatibility: bool = True) -> DataFrame:
     return docs.select("doc_id", text.canonicalize(F.col("text"), compatibility).alias("canon"))
 
 
-def token_table(docs: DataFrame, column: str = "canon") -> DataFrame:
-    """doc_id, pos, token; a document without tokens keeps one row with a null position."""
-    return docs.select("doc_id", F.posexplode_outer(text.tokenize(F.col(column))).alias("pos", "token"))
+def token_lists(docs: DataFrame, column: str = "canon") -> DataFrame:
+    """doc_id, tokens."""
+    return docs.select("doc_id", text.tokenize(F.col(column)).alias("tokens"))
+
+
+def token_table(docs: DataFrame, column: str | None = "canon") -> DataFrame:
+    """doc_id, pos, token, of a text column or (None) of :func:`token_lists`; a document without tokens keeps one row with a null position."""
+    lists = docs if column is None else token_lists(docs, column)
+    return lists.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token"))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

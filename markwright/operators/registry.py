@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions import ed25519, text
@@ -17,30 +17,24 @@ RECORD = "id long, canonical_hash string, text string, model string, created str
 DIFF = "array<struct<op:string,original:string,suspect:string,orig_tokens:struct<start:int,end:int>,susp_tokens:struct<start:int,end:int>>>"
 
 
+SALTS = 1024
+
+
 def assign_ids(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Adds ``id`` from ``start + 1`` on in the given order, without sorting all rows in one task.
 
-    Rows are range-partitioned; a partition's ids continue those of the partitions before it.
+    Rows are range-partitioned and sorted, and each is written once with the number of its task and its place in it; ids
+    are then worked out from what was written, by the rows of the tasks before.  Rows that agree in all columns of
+    ``order`` are numbered in any order; a salt spreads them over tasks.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
-    ahead, total = {}, start
-    for part in sorted(counts):
-        ahead[part] = total
-        total += counts[part]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at: dict[int, int] = {}
-        for part in parts:
-            if len(part):
-                p = int(part["_part"].iloc[0])
-                first = at.get(p, ahead[p])
-                part["id"] = range(first + 1, first + 1 + len(part))
-                at[p] = first + len(part)
-            yield part.drop(columns="_part") if len(part) else part.drop(columns="_part").assign(id=[])
-
-    schema = rows.withColumn("id", F.lit(0).cast("long")).schema
-    return placed.mapInPandas(run, schema)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    placed = rows.withColumn("_salt", salt).repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # task number in the upper 31 bits
+    task = F.shiftright("_at", 33)
+    counts = placed.groupBy(task.alias("_task")).count().withColumn("_ahead", F.sum("count").over(Window.orderBy("_task")) - F.col("count"))  # a row for each task
+    numbered = placed.withColumn("_task", task).join(F.broadcast(counts.drop("count")), "_task")
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("id", F.lit(start + 1).cast("long") + F.col("_ahead") + own).drop("_at", "_task", "_ahead")
 
 
 def signed(records: DataFrame, secret: bytes) -> DataFrame:
@@ -81,11 +75,16 @@ def exact_verdicts(suspects: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def token_diff(original: str, suspect: str) -> tuple[list[tuple], float]:
-    """Changed spans between the words of two canonical texts, and the changed share."""
-    a, b = original.split(), suspect.split()
-    spans = [(op, " ".join(a[i:j]), " ".join(b[k:m]), (i, j), (k, m)) for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal"]
-    changed = sum(max(j - i, m - k) for _, _, _, (i, j), (k, m) in spans)
-    return spans, changed / max(len(a), len(b), 1)
+    """What lies between the words that two canonical texts share in order: (kind, words of both, spans of both), and the changed share."""
+    old, new = original.split(), suspect.split()
+    spans, i, j, changed = [], 0, 0, 0
+    for a, b, size in difflib.SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
+        if a > i or b > j:
+            kind = "insert" if a == i else "delete" if b == j else "replace"
+            spans.append((kind, " ".join(old[i:a]), " ".join(new[j:b]), (i, a), (j, b)))
+            changed += max(a - i, b - j)
+        i, j = a + size, b + size
+    return spans, changed / max(len(old), len(new), 1)
 
 
 def with_diff(rows: DataFrame, original: str = "original", suspect: str = "suspect") -> DataFrame:

@@ -39,7 +39,8 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tokens = ngrams.token_table(canonical(spark, sf_dir))
+    """Tokens are worked out once: the vocabulary and the encoding both read what was written."""
+    tokens = ngrams.token_table(materialize(ngrams.token_lists(canonical(spark, sf_dir)), "tokens"), None)
     vocab = ngrams.vocabulary(tokens)
     return ngrams.encode(tokens, vocab), vocab
 
@@ -142,7 +143,7 @@ def prf_cost_uniform(spark, sf_dir):
     return _scores(spark, sf_dir).where("scored").select("doc_id", "pos", "u")
 
 
-@query(f"{_SCORES} SELECT e.doc_id, e.pos::INT AS pos, round(y, 9) AS y FROM enc e LEFT JOIN scored s ON s.doc_id = e.doc_id AND s.pos = e.pos")
+@query(f"{_SCORES} SELECT doc_id, pos::INT AS pos, round(y, 9) AS y FROM scored UNION ALL SELECT doc_id, pos::INT, NULL FROM ctx WHERE NOT scored")
 def position_scores(spark, sf_dir):
     return _scores(spark, sf_dir).where("pos IS NOT NULL").select("doc_id", "pos", F.round("y", 9).alias("y"))
 
@@ -162,7 +163,7 @@ def detect_docs(spark, sf_dir):
 @query(f"WITH {o.detected(column='text')} SELECT {_DETECTED} FROM tested")
 def detect_docs_naive(spark, sf_dir):
     """Without canonical text."""
-    tokens = ngrams.token_table(table(spark, sf_dir, "documents"), "text")
+    tokens = ngrams.token_table(materialize(ngrams.token_lists(table(spark, sf_dir, "documents"), "text"), "tokens"), None)
     rows = ngrams.encode(tokens, ngrams.vocabulary(tokens))
     return _shown(detect.detections(detect.position_scores(rows, EXAMPLE_KEY)))
 
@@ -277,20 +278,12 @@ def registry_verdict_exact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = docs.withColumn("canonical_hash", text.canonical_hash(text.canonicalize(F.col("text")))).withColumnRenamed("doc_id", "id")
     kind = F.col("doc_id") % 3
-    longer = F.concat(F.substring("text", 1, 1), F.lit("​"), F.expr("substring(text, 2)"))
+    longer = F.concat(F.substring("text", 1, 1), F.lit("\u200b"), F.expr("substring(text, 2)"))
     suspects = docs.withColumn("text", F.when(kind == 0, F.col("text")).when(kind == 1, longer).otherwise(F.concat("text", F.lit(" added"))))
     return registry.exact_verdicts(suspects.withColumn("canonical_hash", text.canonical_hash(text.canonicalize(F.col("text")))), kept)
 
 
-@query(
-    rf"""WITH docs AS (SELECT doc_id, {o.canon("text")} AS canon FROM documents),
-parts AS (SELECT doc_id, canon, list_filter(list_transform(string_split(regexp_replace(canon, '([.!?])\s+([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, concat(' ', chr(10)))), lambda s: s <> '') AS p FROM docs),
-words AS (SELECT doc_id, canon, unnest(range(len(p))) AS k, unnest(list_transform(p, lambda s: list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> ''))) AS w FROM parts),
-chunks AS (SELECT doc_id, canon, k, unnest(range(0, greatest(len(w), 1), 60)) AS i, w FROM words),
-kept AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + 60], ' ') AS sentence FROM chunks WHERE length(array_to_string(w[i + 1:i + 60], ' ')) >= 8)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INT AS sent_idx, sentence FROM kept
-UNION ALL SELECT doc_id, 0, canon FROM docs WHERE canon <> '' AND doc_id NOT IN (SELECT doc_id FROM kept)"""
-)
+@query(f'WITH docs AS (SELECT doc_id, {o.canon("text")} AS canon FROM documents), {o.SENTENCES} SELECT doc_id, sent_idx, sentence FROM split')
 def sentence_split(spark, sf_dir):
     return retrieval.sentences(canonical(spark, sf_dir))
 
@@ -393,52 +386,68 @@ def attack_autoformat(spark, sf_dir):
     return attacks.apply(_docs(spark, sf_dir), attacks.Attack("af", "autoformat", "2")).select("doc_id", "attacked_text")
 
 
-@query(
-    f"""WITH {o.doc_tokens(column='text')} SELECT doc_id, least(len(l), 150) AS n_tokens, sha256(array_to_string(l[1:150], ' ')) AS tokens_sha256 FROM lists"""
-)
+@query(f"WITH {o.doc_tokens(column='text')}, kept AS (SELECT doc_id, l[1:150] AS l FROM lists) SELECT doc_id, {o.detokenized('l')} AS attacked_text FROM kept")
 def attack_truncate(spark, sf_dir):
-    """The first 150 tokens; joined with spaces here, so that the oracle needs no detokeniser."""
-    cut = _docs(spark, sf_dir).select("doc_id", F.slice(text.tokenize(F.col("text")), 1, 150).alias("l"))
-    return cut.select("doc_id", F.size("l").cast("long").alias("n_tokens"), F.sha2(F.array_join("l", " "), 256).alias("tokens_sha256"))
+    return attacks.apply(_docs(spark, sf_dir), attacks.Attack("cut", "truncate", "2", {"n": 150})).select("doc_id", "attacked_text")
 
 
-@query(f"""WITH {o.doc_tokens(column='text')}, kept AS (SELECT doc_id, pos, token FROM tok WHERE {_unit("'0'", "doc_id::VARCHAR", "'del'", "pos::VARCHAR")} >= 0.1)
-SELECT l.doc_id, count(k.pos) AS n_kept, sha256(coalesce(string_agg(k.token, ' ' ORDER BY k.pos), '')) AS tokens_sha256 FROM lists l LEFT JOIN kept k ON k.doc_id = l.doc_id GROUP BY l.doc_id""")
+@query(
+    f"""WITH {o.doc_tokens(column='text')}, kept AS (SELECT doc_id, list(token ORDER BY pos) AS l FROM tok WHERE {_unit("'0'", "doc_id::VARCHAR", "'del'", "pos::VARCHAR")} >= 0.1 GROUP BY doc_id)
+SELECT d.doc_id, {o.detokenized("coalesce(k.l, []::VARCHAR[])")} AS attacked_text FROM lists d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+)
 def attack_delete(spark, sf_dir):
-    kept = _docs(spark, sf_dir).select("doc_id", F.filter(text.tokenize(F.col("text")), lambda t, i: attacks.uniform(0, F.col("doc_id"), "del", i) >= 0.1).alias("l"))
-    return kept.select("doc_id", F.size("l").cast("long").alias("n_kept"), F.sha2(F.array_join("l", " "), 256).alias("tokens_sha256"))
+    return attacks.apply(_docs(spark, sf_dir), attacks.Attack("del", "delete", "2", {"p": 0.1})).select("doc_id", "attacked_text")
 
 
 def _pool(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("slot"), "text")
 
 
-@query()
+@query(
+    rf"""WITH pool AS (SELECT count(*) AS slots FROM benchmark), docs AS (SELECT item_id AS doc_id, {o.canon("text")} AS canon FROM benchmark), {o.SENTENCES},
+sents AS (SELECT doc_id AS slot, list(sentence ORDER BY sent_idx) AS s FROM split GROUP BY doc_id),
+own AS (SELECT d.doc_id, text, len({o.tokens("text")}) AS n, floor({_unit("'0'", "doc_id::VARCHAR", "'pool'")} * slots)::BIGINT AS slot FROM documents d, pool),
+joined AS (SELECT own.*, s, list_transform(s, lambda x: len({o.tokens("x")})) AS sizes FROM own JOIN sents ON sents.slot = own.slot),
+took AS (SELECT *, greatest(len(list_filter(range(1, len(s) + 1), lambda i: coalesce(list_sum(sizes[1:i - 1]), 0) < floor(n * 3.0))), 1) AS k FROM joined),
+cut AS (SELECT *, floor({_unit("'0'", "doc_id::VARCHAR", "'cut'")} * (k + 1))::INT AS c FROM took),
+parts AS (SELECT *, array_to_string(s[1:c], ' ') AS head, array_to_string(s[c + 1:k], ' ') AS rest FROM cut)
+SELECT doc_id, array_to_string(list_filter([head, text, rest], lambda x: x <> ''), ' ') AS attacked_text, len({o.tokens("head")})::INT AS span_start, (len({o.tokens("head")}) + n)::INT AS span_end FROM parts"""
+)
 def attack_dilute(spark, sf_dir):
     """Documents inside sentences of a benchmark passage, with the true span."""
     return attacks.apply(_docs(spark, sf_dir), attacks.Attack("dilute", "dilute", "2", {"ratio": 3.0}), pool=_pool(spark, sf_dir)).select("doc_id", "attacked_text", "span_start", "span_end")
 
 
-@query()
+@query(f"WITH {o.doc_tokens()} SELECT doc_id, {o.detokenized('l')} AS text FROM lists")
 def detokenized_docs(spark, sf_dir):
     return canonical(spark, sf_dir).select("doc_id", text.detokenize(text.tokenize(F.col("canon"))).alias("text"))
 
 
-@query()
+@query(
+    rf"""WITH docs AS (SELECT item_id AS doc_id, {o.canon("text")} AS canon FROM benchmark), {o.SENTENCES},
+s AS (SELECT doc_id, sent_idx, ' ' || trim(regexp_replace(lower(sentence), '\s+', ' ', 'g')) || ' ' AS s FROM split),
+g AS (SELECT doc_id, sent_idx, unnest(list_transform(range(1, greatest(length(s) - n + 2, 1)), lambda i: substr(s, i, n))) AS g FROM s, (SELECT unnest([3, 4, 5]) AS n)),
+c AS (SELECT DISTINCT g, {o.crc32('g')} AS crc FROM (SELECT DISTINCT g FROM g)),
+v AS (SELECT doc_id, sent_idx, ((crc >> 1) % 4096)::INT AS bucket, sum(CASE WHEN crc % 2 = 1 THEN 1 ELSE -1 END) AS v FROM g JOIN c USING (g) GROUP BY ALL HAVING v <> 0),
+w AS (SELECT *, sign(v) * ln(1 + abs(v)) AS w FROM v)
+SELECT doc_id, sent_idx, bucket, round((w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, sent_idx)))::FLOAT::DOUBLE, 6) AS w FROM w"""
+)
 def hashing_features(spark, sf_dir):
     """Sparse features of the sentences of the benchmark passages."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), text.canonicalize(F.col("text")).alias("canon"))
-    return retrieval.hashed_features(retrieval.sentences(items))
+    return retrieval.hashed_features(retrieval.sentences(items)).withColumn("w", F.round(F.col("w").cast("double"), 6))
 
 
 _SECRET = bytes(range(100, 132))
 _CREATED = "2024-01-01T00:00:00Z"
 
 
-@query()
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) AS id, sha256({o.canon('text')}) AS canonical_hash, 'example' AS model, '{_CREATED}' AS created, 64 AS signature_bytes, true AS valid FROM documents")
 def sign_records(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return registry.register(items, _SECRET, _CREATED, "example").drop("text")
+    """All documents as signed records; the signatures are checked here, as DuckDB has no Ed25519."""
+    made = registry.register(_docs(spark, sf_dir), _SECRET, _CREATED, "example")
+    told = registry.with_validity(made, ed25519.public_key(_SECRET))
+    return told.select("id", "canonical_hash", "model", "created", F.length("signature").alias("signature_bytes"), F.col("signature_valid").alias("valid"))
 
 
 @query()
@@ -471,7 +480,7 @@ def attack_sweep_summary(spark, sf_dir):
 def _model(spark, sf_dir):
     """Vocabulary and model of the conversations."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    tokens = ngrams.token_table(ngrams.canonical_docs(turns))
+    tokens = ngrams.token_table(generate.training_documents(ngrams.canonical_docs(turns)))
     vocab = materialize(ngrams.vocabulary(tokens), "vocab")
     rows = materialize(ngrams.encode(tokens, vocab), "encoded")
     grams = ngrams.ngram_rows(rows)

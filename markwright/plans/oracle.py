@@ -99,3 +99,36 @@ total AS (SELECT d.doc_id, (SELECT 0) AS z, max(len(l.l))::INT AS n_tokens, coun
   FROM docs d JOIN lists l ON d.doc_id = l.doc_id LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
 tested AS (SELECT *, CASE WHEN n_scored > 0 THEN {tail("statistic", "n_scored")} ELSE 1.0 END AS p_value,
   CASE WHEN n_scored > 0 THEN (statistic - n_scored) / sqrt(n_scored) ELSE 0.0 END AS z_score FROM total)"""
+
+
+#: CTE split(doc_id, sent_idx, sentence) from docs(doc_id, canon).
+SENTENCES = r"""pieces AS (SELECT doc_id, canon, list_filter(list_transform(string_split(regexp_replace(canon, '([.!?])\s+([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, concat(' ', chr(10)))), lambda s: s <> '') AS p FROM docs),
+words AS (SELECT doc_id, canon, unnest(range(len(p))) AS k, unnest(list_transform(p, lambda s: list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> ''))) AS w FROM pieces),
+chunks AS (SELECT doc_id, canon, k, unnest(range(0, greatest(len(w), 1), 60)) AS i, w FROM words),
+long AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + 60], ' ') AS sentence FROM chunks WHERE length(array_to_string(w[i + 1:i + 60], ' ')) >= 8),
+split AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INT AS sent_idx, sentence FROM long
+  UNION ALL SELECT doc_id, 0, canon FROM docs WHERE canon <> '' AND doc_id NOT IN (SELECT doc_id FROM long))"""
+
+
+def detokenized(tokens: str) -> str:
+    """Tokens joined by the rules of ``text.detokenize``.
+
+    Whether a token takes a space depends on itself, on the piece before it (an opening mark binds only if it took no space
+    itself) and on the number of double quotes before it.  Runs of opening marks are settled by their first one.
+    """
+    closing, opening = (f"[{', '.join(map(quoted, marks))}]" for marks in (".,;:!?)]}'\"", "([{\"'"))
+    step = f"""lambda s, t: {{'out': s.out || CASE WHEN s.out = '' OR (CASE WHEN t.tok = '"' THEN s.open ELSE list_contains({closing}, t.tok) OR list_contains({opening}, s.last) END) THEN t.tok ELSE ' ' || t.tok END,
+ 'last': CASE WHEN s.out = '' OR (CASE WHEN t.tok = '"' THEN s.open ELSE list_contains({closing}, t.tok) OR list_contains({opening}, s.last) END) THEN t.tok ELSE ' ' || t.tok END,
+ 'open': s.open <> (t.tok = '"'), 'tok': ''}}"""
+    start = "{'out': '', 'last': '', 'open': false, 'tok': ''}"
+    every = f"list_transform({tokens}, lambda t: {{'out': '', 'last': '', 'open': false, 'tok': t}})"
+    return f"list_reduce(list_prepend({start}, {every}), {step}).out"
+
+
+def crc32(text: str) -> str:
+    """DuckDB has no CRC: a fold over the bytes, eight conditional shifts each."""
+    byte = "xor(c, b)"
+    for _ in range(8):
+        byte = f"list_transform([{byte}], lambda z: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384::BIGINT) ELSE z >> 1 END)[1]"
+    codes = f"list_transform(range(0, octet_length(encode({text}))::BIGINT), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295::BIGINT)"

@@ -28,6 +28,6 @@ def lookup_stream(suspects: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def distinct_stream(stream: DataFrame, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """Each canonical text once within the watermark."""
+    """Each canonical text once within the allowed delay."""
     hashed = stream.withColumn("canonical_hash", text.canonical_hash(text.canonicalize(F.col("text"))))
     return hashed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["canonical_hash"])

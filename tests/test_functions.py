@@ -10,10 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from markwright.functions import ed25519, prf, stats, text
-from markwright.operators import transport
-from markwright.operators.config import EXAMPLE_KEY
-from markwright.operators.generate import Sampler, shaped
-from markwright.operators.config import MarkConfig
+from markwright.operators import generate, transport
+from markwright.operators.config import EXAMPLE_KEY, MarkConfig
+from markwright.operators.generate import drawn, shaped
 
 WRAP = (1 << 64) - 1
 
@@ -130,40 +129,56 @@ def test_message_and_hash(spark):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.integers(2, 24), st.integers(2, 12), st.integers(0, 10_000), st.floats(0.05, 0.9))
-def test_transport_keeps_marginals(blocks, columns, seed, beta):
+@given(st.integers(1, 4), st.integers(2, 24), st.integers(2, 12), st.integers(0, 10_000), st.floats(0.05, 0.9))
+def test_transport_keeps_marginals(contexts, blocks, columns, seed, beta):
     rng = np.random.default_rng(seed)
-    rho = rng.dirichlet(np.full(blocks, 0.5))
-    found = transport.solve(rho, rng.standard_normal((blocks, columns)), 5.0, beta, columns)
-    assert np.allclose(found.coupling.sum(axis=1), rho, atol=1e-9) and np.allclose(found.coupling.sum(axis=0), 1 / columns, atol=1e-9)
-    assert (found.coupling >= 0).all()
+    rho = rng.dirichlet(np.full(blocks, 0.5), contexts)
+    found = transport.couple(rho, rng.standard_normal((contexts, blocks, columns)), np.full(contexts, 5.0), beta)
+    assert np.allclose(found.table.sum(axis=2), rho, atol=1e-9) and np.allclose(found.table.sum(axis=1), 1 / columns, atol=1e-9)
+    assert (found.table >= 0).all()
+
+
+def test_the_budget_is_met_by_each_context_of_a_batch():
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet(np.full(500, 0.3), 6)
+    contexts = [(i, i + 1, i + 2) for i in range(6)]
+    _, mass, cost, _ = generate.problems(p, contexts, EXAMPLE_KEY, MarkConfig())
+    total = transport.entropies(p)
+    found = transport.couple(mass, cost, total, 0.3, 0.01, 80)
+    assert (np.abs(found.achieved - 0.3) < 0.011).all() and set(found.status) == {transport.ON_TARGET}
+    assert transport.informations(found.table) == pytest.approx(found.achieved * total)
+    one = transport.couple(mass[2:3], cost[2:3], total[2:3], 0.3, 0.01, 80)
+    assert np.allclose(one.table[0], found.table[2], atol=1e-9)
 
 
 def test_zero_budget_is_independent():
-    found = transport.solve(np.array([0.5, 0.3, 0.2]), np.zeros((3, 4)), 1.0, 0.0, 4)
-    assert found.status == "independent coupling" and np.allclose(found.coupling, np.outer([0.5, 0.3, 0.2], np.full(4, 0.25)))
+    rho = np.array([[0.5, 0.3, 0.2]])
+    for beta, entropy in ((0.0, 1.0), (0.5, 0.0)):
+        found = transport.couple(rho, np.zeros((1, 3, 4)), np.array([entropy]), beta)
+        assert found.status[0] == transport.INDEPENDENT and np.allclose(found.table[0], np.outer(rho[0], np.full(4, 0.25)))
 
 
 def test_marking_is_unbiased_over_columns():
-    rng = np.random.default_rng(0)
-    p = rng.dirichlet(np.full(500, 0.3))
-    config = MarkConfig(n_blocks=16, n_columns=8)
-    seeds = prf.np_seeds(EXAMPLE_KEY, (5, 6, 7))
-    block = prf.np_blocks(seeds["partition"], 500, 16)
-    rho = np.bincount(block, p, 16)
-    found = transport.solve(rho, prf.np_costs(seeds["cost"], 16, 8), transport.entropy(p), 0.5, 8)
-    mean = sum(p * 8 * found.coupling[block, j] / rho[block] for j in range(8)) / 8
-    assert np.allclose(mean, p, atol=1e-9)
-    sampler = Sampler(EXAMPLE_KEY, config, 500)
-    q, step = sampler.distribution(p, (5, 6, 7))
-    assert q.sum() == pytest.approx(1) and not step.masked and abs(step.beta_achieved - step.beta_requested) < 0.06
-    assert sampler.distribution(p, (5, 6, 7))[1].masked and sampler.distribution(p, ())[1].masked
-    with pytest.raises(ValueError):
-        sampler.distribution(p[:-1], (1, 2, 3))
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.full(2000, 0.2))[None, :]
+    config = MarkConfig()
+    block, mass, cost, column = generate.problems(p, [(10, 20, 30)], EXAMPLE_KEY, config)
+    found = transport.couple(mass, cost, transport.entropies(p), config.beta)
+    lift = np.divide(found.table[0] * config.n_columns, mass[0][:, None], out=np.zeros_like(found.table[0]), where=mass[0][:, None] > 0)
+    every = p * lift.T[:, block[0]]
+    assert np.allclose(every.sum(axis=1), 1, atol=1e-9) and np.allclose(every.mean(axis=0), p[0], atol=1e-9)
+    # the entropy that a column takes away is the coupling's information
+    assert transport.entropies(p)[0] - transport.entropies(every).mean() == pytest.approx(transport.informations(found.table)[0], abs=1e-6)
+    q, told = generate.marked(p, [(10, 20, 30)], np.zeros(1, bool), EXAMPLE_KEY, config)
+    assert told.column[0] == column[0] and np.allclose(q[0], every[column[0]], atol=1e-9)
+    for contexts, plain in (([()], [False]), ([(1, 2)], [True])):
+        q, told = generate.marked(p, contexts, np.array(plain), EXAMPLE_KEY, config)
+        assert told.column[0] == -1 and (q == p).all()
 
 
 def test_temperature_and_top_p():
-    p = np.array([0.5, 0.3, 0.2])
-    assert (shaped(p, top_p=0.5) > 0).sum() == 1 and (shaped(p, top_p=0.6) > 0).sum() == 2
-    assert shaped(p, 0.0, 0.1).tolist() == [1, 0, 0]
-    assert shaped(p, 2.0).max() < 0.5
+    p = np.array([[0.5, 0.3, 0.2], [0.2, 0.5, 0.3]])
+    assert (shaped(p, top_p=0.5) > 0).sum(axis=1).tolist() == [1, 1] and (shaped(p, top_p=0.6) > 0).sum(axis=1).tolist() == [2, 2]
+    assert shaped(p, 0.0, 0.1).tolist() == [[1, 0, 0], [0, 1, 0]]
+    assert shaped(p, 2.0).max() < 0.5 and np.allclose(shaped(p, 2.0).sum(axis=1), 1)
+    assert drawn(p, np.array([0.0, 0.999])).tolist() == [0, 2] and drawn(p, np.array([0.5, 0.1999])).tolist() == [1, 0]

@@ -1,5 +1,7 @@
 import hashlib
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from markwright.cli import build_model, demo
 from markwright.functions import ed25519, prf, text
 from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval, transport
 from markwright.operators.config import EXAMPLE_KEY, MarkConfig
+from markwright.operators.providers import ProvidedModel
 from markwright.plans import catalog
 from markwright.session import materialize
 from markwright.sources import corpus
@@ -144,18 +147,95 @@ def test_attacks(spark, docs, model):
 
 
 def test_short_texts_are_left_alone(model):
-    lm, rng = model[1], np.random.default_rng(0)
-    assert attacks.rewrite_ids(lm, [1, 2, 3, 4], rng) == ([1, 2, 3, 4], {"changed": 0})
-    assert attacks.piggyback_ids(lm, [1, 2, 3, 4, 5, 6], rng) == ([1, 2, 3, 4, 5, 6], {"k": 0})
-    ids, meta = attacks.rewrite_ids(lm, list(range(1, 60)), rng, 0.5)
-    assert meta["changed"] == round(0.5 * 56) and ids[:3] == [1, 2, 3]
+    lm = model[1]
+    assert attacks.rewrite_ids(lm, [1, 2, 3, 4], 0, 0) == ([1, 2, 3, 4], {"changed": 0})
+    assert attacks.piggyback_ids(lm, [1, 2, 3, 4, 5, 6], 0, 0) == ([1, 2, 3, 4, 5, 6], {"k": 0})
+    assert attacks.insert_ids(lm, [], 0, 0) == ([], {"inserted": 0})
+    ids, meta = attacks.rewrite_ids(lm, list(range(1, 60)), 0, 0, 0.5)
+    assert meta["changed"] == round(0.5 * 56) and ids[:3] == [1, 2, 3] and 20 < sum(a != b for a, b in zip(ids, range(1, 60), strict=True)) <= 28
+    ids, meta = attacks.insert_ids(lm, list(range(1, 200)), 0, 0, 0.3)
+    assert len(ids) == 199 + meta["inserted"] and 30 < meta["inserted"] < 90
+    left = iter(ids)
+    assert all(any(x == t for x in left) for t in range(1, 200))  # the old tokens stand in order
+
 
+def test_places_are_drawn_after_those_they_depend_on():
+    waves = attacks._waves(np.array([3, 4, 5, 9, 12, 13]))
+    order = {int(p): w for w, places in enumerate(waves) for p in places}
+    assert order == {3: 0, 4: 1, 5: 2, 9: 0, 12: 0, 13: 1}
 
-def test_language_model_sums_to_one(model):
+
+def test_language_model_matches_its_definition(model):
+    lm = model[1]
+    texts = [[], [3], [3, 4], [0, 0], [11, 12, 13]]
+    p = lm.distributions(texts)
+    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+    count = lambda table, at: (table.token[table.start[at] : table.start[at + 1]], table.kept[table.start[at] : table.start[at + 1]], table.passed[at])
+    for row, ids in zip(p, texts, strict=True):
+        slow = lm.unigrams.copy()
+        for table, key in ((lm.pairs, ids[-1] if ids else None), (lm.triples, ids[-2] * lm.vocab_size + ids[-1] if len(ids) > 1 else None)):
+            at = np.flatnonzero(table.context == key) if key is not None else []
+            if len(at):
+                token, kept, passed = count(table, at[0])
+                slow = slow * passed
+                slow[token] += kept
+        assert np.allclose(row, slow / slow.sum(), atol=1e-12)
+
+
+def test_generation_does_not_depend_on_the_batch(model):
     lm = model[1]
-    for ids in ([], [3], [3, 4], [0, 0], [11, 12, 13]):
-        p = lm.next_token_dist(ids)
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
+    prompts, owners = [[5, 6], [7], [], [8, 9, 10]], [1, 2, 3, 4]
+    ids, beta, share = generate.continued(lm, prompts, owners, 30, EXAMPLE_KEY)
+    for i in range(4):
+        own, b, s = generate.continued(lm, prompts[i : i + 1], owners[i : i + 1], 30, EXAMPLE_KEY)
+        assert own[0] == ids[i] and b[0] == pytest.approx(beta[i]) and s[0] == share[i]
+    assert share[2] >= 1 / 30  # the first step has no context
+    other = generate.continued(lm, prompts, owners, 30, EXAMPLE_KEY, seed=1)[0]
+    assert all(a != b for a, b in zip(ids, other, strict=True))
+
+
+def test_a_provided_model_generates_and_edits(spark):
+    def scores(texts):
+        return np.array([[float(i % 7 == len(t) % 7) for i in range(50)] for t in texts])
+
+    def chatter(instruction, limit, seed):
+        return f" {seed} {limit} " + instruction.split("\n\n")[-1].upper()
+
+    lm = ProvidedModel([f"t{i}" for i in range(50)], scores, chatter, eos_id=49)
+    prompts = spark.createDataFrame([(i, [1, 2]) for i in range(3)], "doc_id long, prompt array<int>")
+    made = generate.generate(prompts, lm, 20, EXAMPLE_KEY).collect()
+    assert len(made) == 3 and all(len(r["ids"]) <= 20 and 49 not in r["ids"] and r["mean_beta"] > 0 for r in made)
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r["attacked_text"] for r in attacks.apply(docs, attacks.SWEEP[-2], lm).collect()}
+    assert found == {1: "1 70 SOME WORDS", 2: None}
+    there = {r["doc_id"]: r["attacked_text"] for r in attacks.apply(docs, attacks.SWEEP[-1], lm).collect()}
+    assert there[1].startswith("2 ") and there[1].endswith("SOME WORDS")
+    assert attacks.apply(docs.where("doc_id = 1"), attacks.SWEEP[5], lm).count() == 1
+    for broken in (ProvidedModel(["a"]),):
+        with pytest.raises(NotImplementedError):
+            broken.paraphrase("x")
+        with pytest.raises(NotImplementedError):
+            broken.distributions([[0]])
+
+
+def test_ids_are_gapless_and_ordered_for_many_rows(spark):
+    n = 1_500_000
+    rows = spark.range(n, numPartitions=12).select(F.xxhash64("id").alias("k"), F.pmod("id", F.lit(3)).alias("hot"))
+    found = materialize(registry.assign_ids(rows, ["hot", "k"], 10), "ids")
+    assert found.agg(F.min("id"), F.max("id"), F.approx_count_distinct("id") > 0, F.sum("id")).first() == (11, n + 10, True, n * (n + 21) // 2)
+    assert found.groupBy("id").count().where("count > 1").count() == 0
+    assert found.groupBy("hot").agg(F.min("id"), F.max("id")).orderBy("hot").collect()[1][1:] == (n // 3 + 11, 2 * n // 3 + 10)
+    assert [r["k"] for r in found.orderBy("id").limit(500).collect()] == [r["k"] for r in rows.where("hot = 0").orderBy("k").limit(500).collect()]
+    few = registry.assign_ids(rows.where("k % 100 = 0"), ["hot"])
+    assert few.agg(F.max("id"), F.countDistinct("id")).first() == (few.count(),) * 2
+    assert registry.assign_ids(rows.limit(0), ["k"]).count() == 0
+
+
+def test_training_documents_are_bounded(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', 'a', 'b', 'c', id) AS canon")
+    few = generate.training_documents(docs, 4000)
+    assert 700 < few.count() < 1300 and few.exceptAll(docs).count() == 0
+    assert generate.training_documents(docs, 10**6).count() == 4000
 
 
 def test_registry_verdicts(spark):
@@ -178,13 +258,38 @@ def test_registry_verdicts(spark):
         registry.register(spark.createDataFrame(originals, "name string, text string"), None, "x")
 
 
-def test_hashed_features_agree(spark):
-    sents = spark.createDataFrame([(1, 0, "Ein  Satz über Äpfel."), (1, 1, "ab")], "doc_id long, sent_idx int, sentence string")
+def test_hashed_features_match_their_definition(spark):
+    sents = spark.createDataFrame([(1, 0, "Ein  Satz über Äpfel."), (1, 1, "ab"), (2, 0, "the the the the")], "doc_id long, sent_idx int, sentence string")
+    vecs = {(r["doc_id"], r["sent_idx"]): r["vec"] for r in retrieval.embedded(sents).collect()}
     for r in sents.collect():
-        dense = np.zeros(retrieval.DIM, np.float32)
-        for f in retrieval.hashed_features(sents).where((F.col("sent_idx") == r["sent_idx"])).collect():
-            dense[f["bucket"]] = f["w"]
-        assert np.allclose(dense, retrieval.hash_embed(r["sentence"]), atol=1e-6)
+        signed = Counter()
+        padded = f" {' '.join(r['sentence'].lower().split())} "
+        for n, i in [(n, i) for n in (3, 4, 5) for i in range(len(padded) - n + 1)]:
+            h = zlib.crc32(padded[i : i + n].encode())
+            signed[(h >> 1) % retrieval.DIM] += 2 * (h & 1) - 1
+        want = np.zeros(retrieval.DIM)
+        for bucket, v in signed.items():
+            want[bucket] = math.copysign(math.log1p(abs(v)), v) if v else 0
+        assert np.allclose(vecs[r["doc_id"], r["sent_idx"]], want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_dense_search_over_several_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "CHUNK", 32)
+    x = np.random.default_rng(0).standard_normal((150, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    found = {}
+    for r in retrieval.dense_topk(rows.where("id < 70").withColumnRenamed("id", "qid"), rows, 5).orderBy("qid", "rank").collect():
+        found.setdefault(r["qid"], []).append(r["id"])
+    s = x[:70].astype(float) @ x.astype(float).T
+    assert found == {q: np.argsort(-s[q], kind="stable")[:5].tolist() for q in range(70)}
+    assert retrieval.dense_topk(rows.limit(0).withColumnRenamed("id", "qid"), rows).count() == 0
+
+
+def test_another_embedder_plugs_in(spark):
+    sents = spark.createDataFrame([(1, 0, "abc"), (2, 0, "z")], "doc_id long, sent_idx int, sentence string")
+    vecs = {r["doc_id"]: r["vec"] for r in retrieval.embedded(sents, lambda texts: [[len(t), 1.0] for t in texts]).collect()}
+    assert vecs == {1: [3.0, 1.0], 2: [1.0, 1.0]}
 
 
 def test_sources_round_trip(spark, tmp_path):
@@ -243,12 +348,11 @@ def test_couplings_cover_every_position_of_whole_texts(spark, model):
     assert set(found) == {(d, t) for d, tokens in texts.items() for t in range(len(tokens or []))}
     for (d, t), r in found.items():
         ids = lm.encode(texts[d][: t + 1])
-        p = lm.next_token_dist(ids)
-        seeds = prf.np_seeds(EXAMPLE_KEY, tuple(ids[-3:]))
-        rho = np.bincount(prf.np_blocks(seeds["partition"], len(p), 32), p, 32)
-        direct = transport.solve(rho, prf.np_costs(seeds["cost"], 32, 16), transport.entropy(p), c.beta, 16)
-        assert (r["status"], r["iterations"]) == (direct.status, direct.iterations)
-        assert np.allclose(r["coupling"], direct.coupling, atol=1e-12) and r["beta_achieved"] == pytest.approx(direct.beta_achieved)
+        p = lm.distributions([ids])
+        _, mass, cost, _ = generate.problems(p, [tuple(ids[-3:])], EXAMPLE_KEY, c)
+        direct = transport.couple(mass, cost, transport.entropies(p), c.beta)
+        assert (r["status"], r["iterations"]) == (direct.status[0], direct.rounds[0])
+        assert np.allclose(r["coupling"], direct.table[0], atol=1e-9) and r["beta_achieved"] == pytest.approx(direct.achieved[0])
 
 
 def test_the_couplings_query_has_every_token_of_the_benchmark(spark):
