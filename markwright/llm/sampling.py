@@ -2,31 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 16 << 20
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+REPEATS = 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows.
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes.
+
+    A batch holds whole texts, in the JVM's direct memory and again in the worker; the defaults are made for narrow
+    rows.  Lower settings of the session are kept.  The settings are read when a plan runs, after the operator has returned
+    it, so they stay in the session.
+    """
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    told = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES).replace("-1", "0"))
+    if not 0 < told <= BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def at_most_repeats(rows: DataFrame, key: str, repeats: int = REPEATS) -> DataFrame:
+    """At most ``repeats`` of the rows that share a key, those with the smallest hashes of all their columns.
 
-    A batch holds whole texts, in the JVM's direct memory and again in the worker; the default of 10,000 rows
-    is made for narrow rows.  A lower setting of the session is kept.
+    The limit is pushed into each task before the exchange, so a key that a third of all rows share costs no more than others.
     """
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns))
+    return rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= repeats).drop("_nth")
+
+
+def under(rate: float) -> Column:
+    """Whether ``rank`` lies in the lowest ``rate`` of all 64-bit numbers."""
+    return F.lit(True) if rate >= 1 else F.col("rank") < int(rate * 2**64) - 2**63
 
 
 def hash_sample(rows: DataFrame, key: Column, seed: int, max_rows: int) -> DataFrame:
-    """Adds ``rank`` (a hash of the key) and keeps the rows under the quantile at which about ``max_rows`` are expected.
+    """Adds ``rank`` (a hash of the key) and keeps the rows under the quantile at which about ``max_rows`` are expected,
+    of one key at most ``REPEATS`` rows.
 
-    A count and a filter: nothing is sorted or sent to the driver, and reruns keep the same rows.
+    A count, a filter and a limit by key: nothing is sorted as a whole or sent to the driver, and reruns keep the same rows.
     """
     count = rows.count()
     ranked = rows.withColumn("rank", F.xxhash64(key, F.lit(seed)))
-    if count <= max_rows:
-        return ranked
-    return ranked.where(F.col("rank") < int(max_rows / count * 2**64) - 2**63)
+    return at_most_repeats(ranked.where(under(max_rows / max(count, 1))), "rank")
+
+
+def stratified_sample(rows: DataFrame, by: str, key: Column, seed: int, max_rows: int) -> DataFrame:
+    """Like :func:`hash_sample`, with an equal quota for each value of ``by``: values with fewer rows than the quota keep all of
+    theirs, and what they leave is shared by the others.  The driver sees one number for each distinct group size."""
+    sizes = rows.groupBy(by).count()
+    told = sorted((r["count"], r["groups"]) for r in sizes.groupBy("count").agg(F.count(F.lit(1)).alias("groups")).collect())
+    left, groups, quota = float(max_rows), sum(g for _, g in told), float(max_rows)
+    for size, many in told:  # the smallest groups first
+        quota = left / groups
+        if size >= quota:
+            break
+        left, groups = left - size * many, groups - many
+        quota = float("inf")
+    ranked = rows.withColumn("rank", F.xxhash64(key, F.lit(seed)))
+    rate = F.least(F.lit(1.0), F.lit(quota) / F.col("count"))
+    place = F.col("rank").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    own = sizes.withColumnRenamed(by, "_group")
+    kept = ranked.join(own, F.col(by).eqNullSafe(F.col("_group"))).where(place < rate)
+    return at_most_repeats(kept.drop("_group", "count"), "rank")
