@@ -1,5 +1,6 @@
 """The operators against plain Python on the smallest tables and on planted cases."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from markwright.llm import decontamination, language, licenses, line_dedup, mixing, near_dedup, neighbours, personal_data, quality, sharding
 from markwright.llm.hashing import shingle_hashes, token_hashes
@@ -47,24 +49,69 @@ def test_hashes_follow_words(rows):
     assert len(set(runs[cut[0] : cut[40]].tolist())) == len({s for t in texts[:40] for s in shingles(words(t))})
 
 
-def test_shards_are_near_equal(docs):
-    sizes, counts = Counter(), Counter()
-    rows = sharding.shard_documents(docs, shards=8).collect()
+def shard_sizes(rows):
+    sizes = Counter()
     for r in rows:
         sizes[r["shard"]] += r["size"]
-        counts[r["shard"]] += 1
-    share, largest = sum(sizes.values()) / 8, max(r["size"] for r in rows)
-    assert all(abs(s - share) <= largest + 0.002 * share for s in sizes.values())
+    return sizes
+
+
+def test_shards_are_near_equal_and_keep_equal_texts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for shards in (8, 40):
+        rows = sharding.shard_documents(table, shards=shards).collect()
+        sizes, groups = shard_sizes(rows), {}
+        for r in rows:
+            groups.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        share = sum(sizes.values()) / shards
+        assert all(len(g) == 1 for g in groups.values())
+        assert len(sizes) == shards and all(abs(s - share) <= 0.02 * share for s in sizes.values())
 
 
-def test_a_hot_group_is_split_and_small_ones_stay_whole(spark):
+def test_splitters_match_a_sorted_list(spark):
+    """Without heavy groups the light rows are cut where running bytes pass the goals."""
+    texts = [f"text {i} " * (1 + i % 5) for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = sharding._keyed(docs)
+    found = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, shards=6, tolerance=0.0).collect()}
+    rows = sorted((r["_k1"], r["doc_id"], r["size"]) for r in keyed.collect())
+    total, upto, last = sum(r[2] for r in rows), 0, 0
+    for _, doc_id, size in rows:
+        assert found[doc_id] >= last
+        last = found[doc_id]
+        assert abs(last - (upto + size / 2) / total * 6) <= 1 + 1e-9
+        upto += size
+
+
+def test_a_group_larger_than_a_shard_is_cut_and_others_stay_whole(spark):
     same = [(i, "the same text " * 10) for i in range(400)]
-    other = [(1000 + i, f"text number {i} " * 9) for i in range(800)]
-    rows = sharding.shard_documents(spark.createDataFrame(same + other, "doc_id long, text string"), shards=10).collect()
-    sizes = Counter()
+    half = [(2000 + i, "half a shard " * 10) for i in range(60)]
+    other = [(4000 + i, f"text number {i} " * 9) for i in range(800)]
+    rows = sharding.shard_documents(spark.createDataFrame(same + half + other, "doc_id long, text string"), shards=10).collect()
+    sizes = shard_sizes(rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 4 * max(r["size"] for r in rows)
+    assert len({r["shard"] for r in rows if 2000 <= r["doc_id"] < 4000}) == 1
+
+
+def test_rows_that_agree_in_everything_are_dealt_out(spark):
+    rows = sharding.shard_documents(spark.createDataFrame([(None, "word " * 5)] * 3000 + [(7, "other ")] * 2000, "doc_id long, text string")).collect()
+    sizes, slots = shard_sizes(rows), {}
     for r in rows:
-        sizes[r["shard"]] += r["size"]
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in rows)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    share = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and all(abs(s - share) <= 0.03 * share for s in sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_written_shards_hold_the_rows(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_BYTES", 20_000)
+    wide = docs.withColumn("shard_note", F.lit(1))
+    sharding.write_shards(wide, f"{tmp_path}/shards", shards=5)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(r["doc_id"] for r in back.collect()) == sorted(r["doc_id"] for r in docs.collect()) and "lang" in back.columns
+    want = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, shards=5).collect()}
+    assert all(r["shard"] == want[r["doc_id"]] for r in back.collect())
+    assert any(len(list(p.glob("*.parquet"))) > 1 for p in tmp_path.glob("shards/shard=*"))
 
 
 def test_near_duplicates_match_brute_force(docs, rows):
@@ -251,19 +298,78 @@ def test_base_spans_match_the_patterns(rows):
         assert personal_data.base_spans(text) == slow
 
 
-def test_repeats_of_an_entity_share_its_label():
-    texts = [f"call +1 (743) 555-{i:04d} or pay 4111111111111111 now, ref {i}7 and {i}" for i in range(1000, 1060)]
-    graphs = [personal_data.Graph(t, personal_data.base_spans(t)) for t in texts]
+def taught(texts):
+    nodes = [n for i, t in enumerate(texts) for k in range(personal_data.PLANTINGS) for n in personal_data.labelled_nodes(t, 10 * i + k)]
     field = personal_data.Field()
-    field.fit(graphs)
-    text = "call +1 (743) 555-3824 today. " + "filler words here. " * 30 + "again: 555-3824 or 12"
+    field.fit(np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes]))
+    return field
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    """Taught on the odd documents of sf0.1; the even ones are for measuring."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
+    return taught([r["text"] for r in rows if r["doc_id"] % 2]), [r["text"] for r in rows if r["doc_id"] % 2 == 0]
+
+
+def test_repeats_in_other_forms_are_found_in_documents_not_trained_on(field):
+    """Forms that training does not plant: other separators, other parts, repeats at both ends and far away."""
+    model, texts = field
+    filler = " and then some other words of no account were said." * 40
+    wanted = hit = found = right = unasked = 0
+    for n, text in enumerate(texts):
+        base = personal_data.base_spans(text)
+        unasked += len(personal_data.added_spans(text, base, model))
+        for a, b, kind in base[:2]:
+            digits, source = re.sub("[^0-9]", "", text[a:b]), text[a:b]
+            form = [source.partition("@")[0] + "@", "ip-" + source.replace(".", "-"), ":".join(digits[i : i + 4] for i in range(0, len(digits), 4)), f"{digits[-10:-7]}/{digits[-7:-4]}/{digits[-4:]}"][kind]
+            if kind == 0 and len(form) < 4 or kind == 1 and len(digits) < 7:
+                continue
+            own = f"{form} was named first. {text} {filler} In year {1900 + n % 100} no {n} it was {form} again, page {n % 97}."
+            spans = personal_data.base_spans(own)
+            more = personal_data.added_spans(own, spans, model)
+            places = [m.span() for m in re.finditer(re.escape(form), own) if not any(x < m.end() and m.start() < y for x, y, _ in spans)]
+            wanted += len(places)
+            hit += sum(any(x < q and p < y and k == kind for x, y, k in more) for p, q in places)
+            found += len(more)
+            right += sum(any(x < q and p < y and k == kind for p, q in places) for x, y, k in more)
+    assert wanted > 200 and hit / wanted >= 0.95 and right / found >= 0.98, (hit, wanted, right, found)
+    assert unasked <= 2, unasked  # one number that no pattern accepts, as another follows it directly
+
+
+def test_a_label_travels_to_every_repeat(field):
+    text = "call +1 (743) 555-3824 today." + " Then 743-555-3824, or in words and 1999 and 12." * 60
     base = personal_data.base_spans(text)
-    added = personal_data.added_spans(text, base, field)
-    assert [text[a:b] for a, b, _ in added] in ([], ["555-3824"])
-    p = field.marginals(personal_data.Graph(text, base))
-    linked = personal_data.Graph(text, base)
-    linked.skip = []
-    assert p[-2, 4] >= field.marginals(linked)[-2, 4]
+    added = personal_data.added_spans(text, base, field[0])
+    assert [text[a:b] for a, b, _ in added] == ["743-555-3824"] * 60 and {k for *_, k in added} == {3}
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(4)
+    model = personal_data.Field()
+    model.unary = rng.normal(0, 0.5, model.unary.shape)
+    model.edge = np.array([[0.4, 0.9], [0.7, 1.3]])
+    texts = {"mail a.bcd@e.org then a.bcd@e and 20505": 1e-4, "4111111111111111 x 4111.1111.1111.1111 y 30303": 1e-4, "+1 (743) 555-3824 a 743-555-3824 b 743 555-3824": 0.05}
+    for text, close in texts.items():
+        g = personal_data.Graph(text, personal_data.base_spans(text))
+        n = len(g.spans) + len(g.entities)
+        pairs = model.pairs()
+        unary = np.zeros((n, 5))
+        unary[: len(g.spans)] = model.unary[np.array(g.features)].sum(axis=1)
+        total = np.zeros((n, 5))
+        for labels in itertools.product(range(5), repeat=n):
+            if all(o < 0 or labels[i] == o for i, o in enumerate(g.observed)):
+                s = sum(unary[i, k] for i, k in enumerate(labels) if g.observed[i] < 0)
+                s += sum(pairs[e, labels[a], labels[b]] for e, edges in enumerate((g.chain, g.skip)) for a, b in edges)
+                for i, k in enumerate(labels):
+                    total[i, k] += np.exp(s)
+        assert len(g.skip) >= 2 and np.abs(model.marginals(g) - total / total.sum(axis=1, keepdims=True)).max() < close
+
+
+def test_personal_data_adds_spans_as_a_query(spark):
+    rows = [(i, f"call +1 (743) 555-{i:04d} now. Some words, in {i}. Or 743-555-{i:04d} at night, not {i + 7}") for i in range(1000, 1200)]
+    found = personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_phone"] == 1 and r["n_added"] == 1 and r["spans"].count("phone") == 2 for r in found)
 
 
 def test_language_and_quality_on_held_out_rows(spark):
@@ -336,21 +442,133 @@ def test_mix_meets_targets_and_repeats(spark):
         assert abs(taken[s] - target[s]) <= 0.03 * target[s]
 
 
+def slow_mix(rows):
+    """taken words by document, for sources of at most 2 * NEAR documents: rows are (u, size), distinct."""
+    left, taken = rows["left"], {}
+    order = sorted(rows["docs"])
+    for u, size in order:
+        taken[u] = size <= left
+        left -= size if taken[u] else 0
+    closer = [(abs(s - left), u) for u, s in order if not taken[u] and 0 < s < 2 * left]
+    if closer:
+        taken[min(closer)[1]] = True
+    return taken
+
+
+def test_mix_takes_the_documents_that_a_slow_version_takes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_mix_size", "_mix_u").collect()
+    got = {r["doc_id"]: r for r in mixing.mixture(docs).collect()}
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        goal, words = got[own[0]["doc_id"]]["target"], sum(r["_mix_size"] for r in own)
+        whole = int(goal // words) if words else 0
+        want = slow_mix({"left": goal - whole * words, "docs": [(r["_mix_u"], r["_mix_size"]) for r in own]})
+        for r in own:
+            assert got[r["doc_id"]]["taken"] == r["_mix_size"] * (whole + want[r["_mix_u"]]), r
+
+
+def test_mix_of_rows_that_agree_in_everything(spark):
+    rows = [(None, "a b c d", "x")] * 2000 + [(i, "one two three four", "y") for i in range(500)] + [(9, "one two", None)] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted((repr(tuple(r)) for r in mixing.mixture(docs).collect()))
+    assert first == sorted(repr(tuple(r)) for r in mixing.mixture(docs.repartition(7)).collect()) and len(first) == len(rows)
+    taken, target = Counter(), {}
+    for r in mixing.mixture(docs).collect():
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert set(target) == {8000, 2000, 1400} and all(abs(taken[s] - target[s]) <= 4 for s in target)
+    assert mixing.mixed_rows(docs).count() == sum(r["taken"] // r["size"] for r in mixing.mixture(docs).collect())
+
+
+def test_mix_goes_on_behind_a_long_document_at_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEAR", 8)
+    rows = [(i, "w " * (3000 if i % 10 == 0 else 3), s) for i, s in [(j, "abc"[j % 3]) for j in range(900)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(docs).collect()
+    for words in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == words]
+        source = {d: s for d, _, s in rows}
+        for s in {source[r["doc_id"]] for r in own}:
+            part = [r for r in own if source[r["doc_id"]] == s]
+            assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= max(0.003 * part[0]["target"], 3)
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVELS", 16)
+    rng = random.Random(1)
+    sizes = [(f"s{i:05d}", rng.choice([1, 1, 2, 3, 5, 50, rng.randrange(1, 10_000)])) for i in range(2000)] + [(None, 7)]
+    table = spark.createDataFrame(sizes, "source string, _mix_size long")
+    got = {r["source"]: r["_mix_target"] for r in mixing.source_targets(table).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(sizes)}
+    size, capped, budget = dict(sizes), set(), 1.5 * sum(n for _, n in sizes)
+    while True:
+        level = (budget - sum(2 * size[s] for s in capped)) / sum(weight[s] for s in size if s not in capped)
+        over = {s for s in size if s not in capped and level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert all(got[s] == pytest.approx(min(2 * size[s], level * weight[s])) for s in size)
+
+
 def test_line_runs(spark):
     line = "This is a line that is long enough to be counted as one."
     docs = [(i, f"own {i}\n  {line.upper() if i % 2 else line}\t\nrest") for i in range(7)]
     found = {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found[6] == (0, docs[6][1])
     assert all(found[i] == (1, f"own {i}\nrest") for i in range(6))
-    hashes = [spark.createDataFrame([(d, d * 3 + i, 0) for i in range(5)], "doc_id long, a long, b long") for d in range(4)]
-    store = line_dedup.LineRuns(fanout=2)
-    fresh = [store.add(h).where("fresh").count() for h in hashes]
-    assert fresh == [5, 3, 3, 3] and store.totals().agg({"n_docs": "sum"}).first()[0] == 20
-    assert sum(len(level) for level in store.levels) == 1
-
-
-def test_line_dedup_oracle(spark, docs):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    slow = con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({line_dedup.ORACLE_SQL})").fetchall()
-    assert sorted(slow) == sorted(map(tuple, line_dedup.line_dedup_digest(docs).collect()))
+
+
+def test_runs_hold_each_line_once_and_counts_the_rest(spark):
+    batches = [[(d, d * 3 + i, 0) for i in range(5)] for d in range(5)]
+    store, seen, fresh = line_dedup.LineRuns(spark, fanout=2, buckets=4), set(), []
+    for b in batches:
+        run = {(r["a"], r["b"]) for r in store.add(spark.createDataFrame(b, "doc_id long, a long, b long")).collect()}
+        assert run == {(x, y) for _, x, y in b} - seen
+        seen |= run
+        store.vacuum()
+    assert [len(level) for level in store.levels] == [1, 0, 1]
+    assert sum(run.count() for run in store.runs()) == len(seen)
+    want = {}
+    for d, a, b in sum(batches, []):
+        n, _ = want.get((a, b), (0, 0))
+        want[a, b] = (n + 1, d)
+    assert {(r["a"], r["b"]): (r["n_docs"], r["owner"]) for r in store.totals().collect()} == want
+    store.clear()
+    assert not store._tables and store.totals() is None
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    store = line_dedup.LineRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.range(1000).selectExpr("id AS doc_id", "id % 50 AS a", "id % 50 AS b")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.add(rows)
+        batch = store._write(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("owner")))
+        for plan in (store.fresh(batch), store._union([store.runs()[0], batch])):
+            told = plan._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in told and "Exchange" not in told, told
+        grouped = rows.groupBy("a", "b").count()
+        told = store.fresh(grouped)._jdf.queryExecution().executedPlan().toString()
+        assert told.count("Exchange hashpartitioning") == 1, told  # the aggregation's own
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        store.clear()
+
+
+def test_line_dedup_equals_its_sql(spark, docs, tmp_path):
+    shared = "A line that stands in many of the documents, at length."
+    rows = [(1, shared)] * 4 + [(2, shared + "\nown"), (2, f" {shared.upper()}\n{shared}"), (3, "x")]
+    more = [(d, f"Another line of more than forty characters, here.\n{d}\n{'é' * 50}") for d in (*range(10, 17), 16, None, None)]
+    planted = spark.createDataFrame(rows + more + [(None, shared), (None, None), (17, "")], "doc_id long, text string")
+    planted.write.parquet(f"{tmp_path}/planted")
+    for table, path in ((docs, f"{SF}/documents.parquet"), (planted, f"{tmp_path}/planted/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        slow = con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({line_dedup.ORACLE_SQL})").fetchall()
+        assert sorted(map(repr, slow)) == sorted(repr(tuple(r)) for r in line_dedup.line_dedup_digest(table).collect())
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup_digest(planted).where("doc_id IS NOT NULL").collect()}
+    assert found[1] == 0 and found[10] == 2 and found[16] == 0
+    assert sorted(r["n_dropped"] for r in line_dedup.line_dedup_digest(planted).where("doc_id IS NULL").collect()) == [0, 0, 2, 2]
