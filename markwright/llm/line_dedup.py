@@ -171,6 +171,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 3) ->
     store.clear()
     drops = hashes.where(F.col("doc_id").isNotNull()).join(heavy, _KEY).where(F.col("doc_id") != F.col("owner"))
     drops = materialize(drops.groupBy("doc_id").agg(F.collect_set(F.struct(*_KEY)).alias("_drop")).withColumnRenamed("doc_id", "_doc"), "line-drops")
+    drops = drops.hint("merge")  # they grow with the documents: one plan for all sizes
     # rows without a doc_id are told apart by their text
     nameless = materialize(line_hashes(docs.where(F.col("doc_id").isNull()).select(F.md5(F.encode("text", "UTF-8")).alias("_md5"), "text"), "_md5").distinct().join(heavy.select(*_KEY), _KEY), "nameless-lines")
     lost = nameless.groupBy("_md5").agg(F.collect_set(F.struct(*_KEY)).alias("_drop"))

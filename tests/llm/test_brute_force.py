@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markwright.llm import decontamination, language, licenses, line_dedup, mixing, near_dedup, neighbours, personal_data, quality, sharding
+from markwright.llm import decontamination, language, licenses, line_dedup, mixing, near_dedup, neighbours, personal_data, quality, sampling, sharding
 from markwright.llm.hashing import shingle_hashes, token_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -221,15 +221,41 @@ def test_an_edited_leak_is_found(spark):
     assert [(r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in found] == [(1, 9, 90, 150)]
 
 
-def test_all_fingerprints_within_the_radius_are_found():
+def test_all_fingerprints_within_the_radius_are_found_and_few_others_tested():
     rng = np.random.default_rng(1)
-    items = rng.integers(0, 2**63, 50).astype(np.uint64)
-    flips = [int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(24) for _ in range(20)]
-    queries = np.array([int(items[i % 50]) ^ f for i, f in enumerate(flips)], np.uint64)
-    q, i = decontamination.HammingIndex(items).search(queries)
-    found = set(zip(q.tolist(), i.tolist(), strict=True))
-    slow = {(a, b) for a in range(len(queries)) for b in range(50) if int(queries[a] ^ items[b]).bit_count() <= decontamination.RADIUS}
-    assert found == slow and all((k, k % 50) in found for k in range(len(queries)))
+    items = rng.integers(0, 2**64, (2000, 2), dtype=np.uint64)
+    flips = np.zeros((36 * 10, 128), np.uint8)
+    for row, k in enumerate(np.repeat(np.arange(36), 10)):
+        flips[row, rng.choice(128, k, replace=False)] = 1
+    planted = items[: len(flips)] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+    queries = np.concatenate([planted, rng.integers(0, 2**64, (200, 2), dtype=np.uint64)])
+    index = decontamination.HammingIndex(items)
+    q, i = index.search(queries)
+    apart = np.bitwise_count(queries[:, None, :] ^ items[None, :, :]).sum(axis=2)
+    assert set(zip(q.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontamination.RADIUS)), strict=True))
+    every = len(queries) * len(items)
+    assert index.looked < 0.22 * every and index.tested < 0.02 * every
+
+
+def test_an_item_that_repeats_a_line_is_found_when_other_words_repeat(spark):
+    """The bags share 0.8 of their weight, but what repeats differs: unnumbered counts would turn the fingerprints apart."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    item = base + ["same", "again", "more", "yet", "so"] * 5
+    other = base + [f"x{i}" for i in range(5)] * 4 + ["p", "q", "r", "s", "t"]
+    near = item[:-12] + ["z"] * 12
+    docs = spark.createDataFrame([(1, " ".join(["lead"] * 9 + near + ["tail"])), (2, " ".join(other)), (3, " ".join(item * 30))], "doc_id long, text string")
+    bag = Counter(shingles(words(" ".join(item))))
+    want = set()
+    for r in docs.collect():
+        own = shingles(words(r["text"]))
+        for a in range(max(len(own) - bag.total() + 1, 1)):
+            w = Counter(own[a : a + bag.total()])
+            if (w & bag).total() >= 0.8 * (w | bag).total():
+                want.add(r["doc_id"])
+                break
+    found = decontamination.find_leaks(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert {1, 3} <= want == {r["doc_id"] for r in found}
 
 
 def test_licenses_match_brute_force(docs, rows):
@@ -390,30 +416,115 @@ def test_unseen_words_fall_back_to_shorter_grams():
         w = language.Words([text])
         h = w.words() if n == 0 else w.grams(np.arange(2), n)[0]
         keys, c = np.unique(h, return_counts=True)
-        counts[n] = (keys, np.stack([c, np.zeros_like(c)], axis=1))
+        counts[n] = (keys, np.zeros(len(keys), int), c)
     model = language.Model(["p", "q"], counts)
     sums, seen = model.scores(["aaab", "zaaabz", "b", "zzz", None, "12"])
     assert seen.tolist() == [1, 1, 1, 1, 0, 0]
     assert all(sums[i, 0] > sums[i, 1] for i in range(3)) and sums[3, 0] == sums[3, 1] == 0
 
 
-def test_neighbours_recall(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((3000, 32)) * rng.uniform(0.5, 2, (3000, 1))
-    x[100:400] = x[100]
-    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    own = x.astype(np.float32).astype(float)
-    got = {}
-    for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
+def test_language_scores_match_a_slow_version(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in table.orderBy("doc_id").collect() if r["text"] and r["lang"]]
+    teach, ask = rows[:300], rows[300:420]
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: list(w) if n == 1 else [f"\x1f{w}\x1f"[i : i + n] for i in range(len(w) + 3 - n)]
+    langs, counts = sorted({r["lang"] for r in teach}), [{} for _ in range(language.MAX_N + 1)]
+    for r in teach:
+        for w in letters(r["text"]):
+            for n in range(language.MAX_N + 1):
+                for g in grams(w, n) if n else [w]:
+                    counts[n].setdefault(g, Counter())[r["lang"]] += 1
+    total = [Counter() for _ in counts]
+    for n, own in enumerate(counts):
+        for c in own.values():
+            total[n].update(c)
+    weigh = lambda n, g, k: np.log((counts[n][g][k] + 0.5) / (total[n][k] + 0.5 * len(counts[n]) + 1))
+    few = table.where(F.col("doc_id").isin([r["doc_id"] for r in teach])).select("text", "lang")
+    parts = few.mapInArrow(language._counted, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count")).toPandas()
+    cut = {n: parts[parts["n"] == n] for n in range(language.MAX_N + 1)}
+    model = language.Model(langs, {n: (p["hash"].to_numpy(np.int64).astype(np.uint64), np.array([langs.index(x) for x in p["lang"]]), p["count"].to_numpy()) for n, p in cut.items()})
+    sums, _ = model.scores([r["text"] for r in ask])
+    backed = 0
+    for i, r in enumerate(ask):
+        want = dict.fromkeys(langs, 0.0)
+        for w in letters(r["text"]):
+            for n, own in [(0, [w]), *((n, grams(w, n)) for n in range(language.MAX_N, 0, -1))]:
+                known = [g for g in own if g in counts[n]]
+                if known:
+                    backed += n > 0
+                    for k in langs:
+                        want[k] += sum(weigh(n, g, k) for g in known) / len(known)
+                    break
+        assert np.allclose(sums[i], [want[k] for k in langs], rtol=1e-9)
+    assert backed > 100
+
+
+def test_a_rare_language_keeps_its_rows_and_repeats_are_bounded(spark):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 = 0 THEN 'rare' WHEN id % 3 = 0 THEN 'some' ELSE 'most' END AS lang", "string(id) AS text")
+    hot = spark.range(9_000).selectExpr("-1L AS doc_id", "'most' AS lang", "string(id) AS text")
+    got = {r["lang"]: r["count"] for r in sampling.stratified_sample(rows.unionByName(hot), "lang", F.col("doc_id"), 1, 3000).groupBy("lang").count().collect()}
+    assert got["rare"] == 30 and 1250 < got["some"] < 1750 and 900 < got["most"] < 1750
+    for seed in range(40):
+        few = sampling.hash_sample(hot, F.col("doc_id"), seed, 4000)
+        if n := few.count():
+            assert n == sampling.REPEATS
+            break
+    assert n
+
+
+def neighbour_recall(table, x, every=20, **more):
+    """(recall against brute force, share of the vectors that were verified)."""
+    got, verified = {}, {}
+    for r in neighbours.nearest(table, every=every, measure=True, **more).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    hits = 0
-    for q in range(0, 3000, 20):
-        s = own @ own[q]
+        verified[r["query_id"]] = r["verified"]
+    hits, asked = 0, range(0, len(x), every)
+    for q in asked:
+        s = x @ x[q]
         s[q] = -np.inf
-        best = np.lexsort((np.arange(3000), -s.round(9)))[:20]
+        best = np.lexsort((np.arange(len(x)), -s.round(9)))[:20]
         assert len(got[q]) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in got[q])
+        assert [v for _, v in got[q]] == sorted((v for _, v in got[q]), reverse=True)
         hits += len({*best.tolist()} & {i for i, _ in got[q]})
-    assert hits / (150 * 20) >= 0.9
+    return hits / (len(asked) * 20), sum(verified.values()) / (len(asked) * len(x))
+
+
+def as_table(spark, x, path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}), path)
+    return spark.read.parquet(path)
+
+
+def test_neighbours_recall(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((3000, 32)) * rng.uniform(0.5, 2, (3000, 1))).astype(np.float32).astype(float)
+    x[100:400] = x[100]
+    recall, _ = neighbour_recall(as_table(spark, x, f"{tmp_path}/v.parquet"), x)
+    assert recall >= 0.9
+
+
+def test_neighbours_in_many_cells_are_found_without_looking_at_most_vectors(spark, tmp_path, monkeypatch):
+    """60,000 vectors around 600 centres, in 32 cells fitted in three tiers; some projections hardly differ."""
+    monkeypatch.setattr(neighbours, "CELL", 2048)
+    monkeypatch.setattr(neighbours, "TIER", 2)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((600, 48))
+    x = centres[rng.integers(0, 600, 60_000)] + 0.35 * rng.standard_normal((60_000, 48))
+    x[:6000] = centres[0] + 1e-4 * rng.standard_normal((6000, 48))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    recall, share = neighbour_recall(as_table(spark, x, f"{tmp_path}/v.parquet"), x, every=400)
+    assert recall >= 0.9 and share < 0.1, (recall, share)
+
+
+def test_neighbours_of_unclustered_vectors(spark, tmp_path):
+    """Nothing to go by but the stopping test: 51,200 directions at random, in 7 or 8 cells."""
+    x = np.random.default_rng(8).standard_normal((51_200, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    recall, share = neighbour_recall(as_table(spark, x, f"{tmp_path}/v.parquet"), x, every=400)
+    assert recall >= 0.9 and share < 0.6, (recall, share)
 
 
 def test_mix_meets_targets_and_repeats(spark):
