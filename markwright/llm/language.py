@@ -7,9 +7,9 @@ characters first, then one less, down to single letters.  Words carry a boundary
 ends for n-grams of two or more.  A text's language has the highest sum over its words; the score is its
 share after a softmax of the sums.
 
-Bounds: counts are taken over the about ``max_rows`` training rows with the smallest hashes of
-doc_id; the model keeps the most frequent words and n-grams of each length, at most ``MAX_WORDS`` and ``MAX_GRAMS``,
-so what is broadcast has a fixed size.  Prediction covers every whole text.
+Bounds: counts are taken over about ``max_rows`` training rows, picked by a hash of doc_id with an equal quota for each language (a language with
+fewer rows keeps them all).  All words and n-grams of these rows are in the model, so its size is that of
+the sample whatever the input; it keeps only the counts that are not 0.  Prediction covers every whole text.
 
 Defined results: a null text, one without a letter, and any text when nothing could be learned give
 ``und`` with score 0; rows with a null doc_id count as a doc_id of null that never teaches; ties between languages
@@ -24,16 +24,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markwright.llm.hashing import U64, HashIndex, batches, mix
-from markwright.llm.sampling import bounded_batches, hash_sample
+from markwright.llm.sampling import bounded_batches, stratified_sample
 from markwright.session import materialize
 
 MAX_ROWS = 20_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 40_000
 MAX_N = 4
 BLOCK = 1 << 18  # characters hashed at once
 _MARK = 0x1F  # stands for both ends of a word
@@ -99,39 +98,52 @@ class Words:
         return self.hashes(a, b) ^ mix(U64(n) * U64(8) + left * U64(2) + right), own
 
 
+class Table:
+    """Counts of the words, or of the n-grams of one length.  The log frequency of an entry is ``base`` of the language plus, where it has a count c there,
+    ``log(2 c + 1)``; only the latter are kept."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> None:
+        order = np.lexsort((langs, keys))
+        keys, self.langs, counts = keys[order], langs[order].astype(np.int32), counts[order].astype(float)
+        entries, start = np.unique(keys, return_index=True)
+        self.start = np.append(start, len(keys))
+        self.index = HashIndex(entries)
+        self.gain = np.log(2 * counts + 1)
+        self.base = np.log(0.5 / (np.bincount(self.langs, counts, n_langs) + 0.5 * len(entries) + 1))
+
+    def add(self, out: np.ndarray, rows: np.ndarray, found: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the log frequencies of entries to the rows of ``out``."""
+        n, langs = out.shape
+        out += np.bincount(rows, weight, n)[:, None] * self.base[None, :]
+        size = self.start[found + 1] - self.start[found]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[found], size)
+        cell = np.repeat(rows, size) * langs + self.langs[at]
+        out += np.bincount(cell, self.gain[at] * np.repeat(weight, size), n * langs).reshape(n, langs)
+
+
 class Model:
-    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        """counts: by n (0 for words) the hashes and, for each, the counts by language."""
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """counts: by n (0 for words) the hashes, places of languages and counts, as three columns."""
         self.langs = langs
-        self.tables: dict[int, tuple[HashIndex, np.ndarray]] = {}
-        for n, (keys, by) in counts.items():
-            by = by.astype(float)
-            self.tables[n] = HashIndex(keys), np.log((by + 0.5) / (by.sum(axis=0) + 0.5 * len(keys) + 1))
+        self.tables = {n: Table(*columns, len(langs)) for n, columns in counts.items()}
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(sums by text and language, number of words by text)."""
         words = Words(texts)
         seen = np.bincount(words.row, minlength=len(texts))
         out = np.zeros((len(texts), len(self.langs)))
-
-        def add(rows: np.ndarray, values: np.ndarray, found: np.ndarray, weight: np.ndarray | float = 1.0) -> None:
-            for k in range(len(self.langs)):
-                out[:, k] += np.bincount(rows, values[found, k] * weight, len(texts))
-
-        table, values = self.tables[0]
-        found = table.find(words.words())
+        found = self.tables[0].index.find(words.words())
         hit = found >= 0
-        add(words.row[hit], values, found[hit])
+        self.tables[0].add(out, words.row[hit], found[hit], np.ones(hit.sum()))
         rest = np.flatnonzero(~hit)
         for n in range(MAX_N, 0, -1):
             if not len(rest):
                 break
-            table, values = self.tables[n]
             hashes, own = words.grams(rest, n)
-            found = table.find(hashes)
+            found = self.tables[n].index.find(hashes)
             hit = found >= 0
             many = np.bincount(own[hit], minlength=len(rest))
-            add(words.row[rest[own[hit]]], values, found[hit], 1 / many[own[hit]])
+            self.tables[n].add(out, words.row[rest[own[hit]]], found[hit], 1 / many[own[hit]])
             rest = rest[many == 0]
         return out, seen
 
@@ -165,33 +177,25 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    few = hash_sample(own.select("doc_id", "text", "lang"), F.col("doc_id"), 13, max_rows).select("text", "lang")
+    few = stratified_sample(own.select("doc_id", "text", "lang"), "lang", F.col("doc_id"), 13, max_rows).select("text", "lang")
     counts = few.mapInArrow(_counted, "lang string, n int, hash long, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
-    by_hash = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-    by_hash = materialize(by_hash, "language-counts")
-    langs = sorted(r[0] for r in few.select("lang").distinct().collect())
+    counts = materialize(counts, "language-counts")  # of the sample: what reaches the driver is bounded by it
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
-    # Whole classes of equally frequent entries are kept from the top, as many as fit; only those reach the driver.
-    least: dict[int, int] = {}
-    room = {n: MAX_GRAMS if n else MAX_WORDS for n in range(MAX_N + 1)}
-    for r in by_hash.groupBy("n", "total").count().orderBy("n", F.desc("total")).collect():
-        room[r["n"]] -= r["count"]
-        if room[r["n"]] >= 0:
-            least[r["n"]] = r["total"]
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    place = pa.array(langs, pa.string())
+    found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for n in range(MAX_N + 1):
-        rows = by_hash.where((F.col("n") == n) & (F.col("total") >= least.get(n, 1 << 62)))
-        got = rows.select("hash", F.array(*[F.coalesce(F.col("by")[k], F.lit(0)) for k in langs]).alias("counts")).toPandas()
-        by = np.array(got["counts"].tolist(), float).reshape(len(got), len(langs))
-        found[n] = (got["hash"].to_numpy(np.int64).astype(U64), by)
+        got = counts.where(F.col("n") == n).select("hash", "lang", "count").toArrow()
+        lang = pc.index_in(got.column("lang"), value_set=place).to_numpy()
+        found[n] = (got.column("hash").to_numpy().astype(U64), lang, got.column("count").to_numpy())
     return Model(langs, found)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score``."""
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the entries of about MAX_ROWS rows
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
