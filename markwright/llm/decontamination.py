@@ -1,15 +1,19 @@
 """Benchmark decontamination with SimHash windows, multi-index Hamming search and exact verification.
 
 An item is a benchmark text of n words.  A document is read in windows of each item size, one
-starting at every word.  A window and an item of its size are compared by 64-bit SimHashes of their
-five-word shingles.  The fingerprints of items are indexed in 8 blocks of 8 bits under every value within 2
-bits: two fingerprints at most ``RADIUS`` = 23 bits apart agree to within 2 bits in one block at
-least, so all of them are found.  At similarity 0.8 fingerprints are about 10 bits apart, with a standard deviation of 3.
+starting at every word.  A window and an item of its size are compared by 128-bit SimHashes of their
+five-word shingles, where the second, third, ... occurrence of a shingle counts as an element of its own; so the weighted
+Jaccard similarity of two bags is that of two sets, and fingerprints at similarity 0.8 differ in some 19 bits, with a standard deviation of 4.
+
+Multi-index search finds all fingerprints within ``RADIUS`` = 35 bits (four deviations more): of four blocks of 32 bits one at least differs
+in 8 bits or less, and of its two halves of 16 bits either the first in 4 or less or the second in 3 or less.  Items are indexed
+by half under all such values, so a lookup is exact; the block and then the whole fingerprint are tested before anything is verified.  For
+fingerprints that have nothing in common the lookups reach a fifth of the items and the block test leaves about a hundredth.
 Candidates are verified by the exact weighted Jaccard similarity of their shingles
 (weights: numbers of occurrences), and match at 0.8 or more.
 
 Fingerprints are only formed for windows that hold at least one shingle of some item: any other
-window has similarity 0 with every item, so nothing is lost.
+window has similarity 0 with every item, so nothing is lost.  Of the windows of one size in a text that are the same bag, the first is searched.
 
 Items are broadcast in blocks of ``ITEMS`` (a fixed bound); each block is one pass over the
 documents.  Nothing is shuffled but the results of several blocks for one document.
@@ -22,33 +26,48 @@ repeated rows give repeated results; with an empty benchmark nothing matches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.hashing import SHINGLE, U64, HashIndex, batches, shingle_hashes, token_hashes
+from markwright.llm.hashing import SHINGLE, U64, HashIndex, batches, mix, shingle_hashes, token_hashes
 from markwright.llm.sampling import bounded_batches
 
-ITEMS = 10_000
-RADIUS = 23
-NEAR = 2
+ITEMS = 2_000  # the index of an item takes some 26 kB
+BITS = 128
+BLOCKS = 4
+HALVES = (4, 3)  # bits that the halves of a block may differ in; the block in their sum and 1 more
+RADIUS = BLOCKS * (sum(HALVES) + 1) + BLOCKS - 1
 THRESHOLD = 0.8
-_WITHIN = [x for x in range(256) if x.bit_count() <= NEAR]
+STEP = 1 << 14  # shingles worked on at once
+PAIRS = 1 << 20  # lookups held at once
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """A row of 64 values, 1 or -1, for each hash."""
-    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+def _bits(elements: np.ndarray) -> np.ndarray:
+    """A row of ``BITS`` values, 1 or -1, for each element."""
+    wide = np.stack([elements, mix(elements ^ U64(0x5851F42D4C957F2D))], axis=1)
+    return np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def _pack(signs: np.ndarray) -> np.ndarray:
-    return np.packbits(signs, axis=1, bitorder="little").view("<u8").ravel()
+    """Fingerprints as rows of two 64-bit words."""
+    return np.packbits(signs, axis=1, bitorder="little").view("<u8")
 
 
-def simhash(shingles: np.ndarray) -> int:
-    return int(_pack((_bits(shingles).sum(axis=0) > 0)[None, :])[0])
+def numbered(bag: np.ndarray) -> np.ndarray:
+    """The elements of a bag: a shingle's first occurrence is the shingle itself, later ones are told apart."""
+    order = np.argsort(bag, kind="stable")
+    own = bag[order]
+    first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+    nth = np.arange(len(own)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return np.where(nth > 0, mix(own ^ mix(nth.astype(U64))), own)
+
+
+def simhash(bag: np.ndarray) -> np.ndarray:
+    return _pack((_bits(numbered(bag)).sum(axis=0, dtype=np.int64) > 0)[None, :])[0]
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -59,33 +78,52 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(shared / (len(a) + len(b) - shared))
 
 
+@cache
+def _within(bits: int) -> np.ndarray:
+    """The 16-bit values with at most so many bits."""
+    every = np.arange(1 << 16, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= bits]
+
+
 class HammingIndex:
-    """Fingerprints by block and value, under all values within ``NEAR`` bits."""
+    """Fingerprints by half block, under all values that a near fingerprint may have there."""
 
     def __init__(self, prints: np.ndarray) -> None:
-        self.prints = prints
+        self.prints = np.ascontiguousarray(prints, "<u8").reshape(-1, 2)
+        halves, kind = self.prints.view("<u2"), np.uint16 if len(self.prints) < 1 << 16 else np.int32
         self.offsets, self.items = [], []
-        for block in range(8):
-            own = (prints >> U64(8 * block)) & U64(255)
-            value = (own[:, None] ^ np.array(_WITHIN, U64)[None, :]).astype(np.int64).ravel()
-            item = np.repeat(np.arange(len(prints)), len(_WITHIN))
+        for half in range(2 * BLOCKS):
+            near = _within(HALVES[half % 2])
+            value = (halves[:, half][:, None] ^ near[None, :]).ravel()
             order = np.argsort(value, kind="stable")
-            self.items.append(item[order])
-            self.offsets.append(np.searchsorted(value[order], np.arange(257)))
+            self.items.append((order // len(near)).astype(kind))
+            self.offsets.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]))
+        self.looked = self.tested = 0  # pairs that lookups gave, and pairs that the block test left
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) for all pairs at most RADIUS apart, each once."""
-        found = []
-        for block in range(8):
-            value = ((prints >> U64(8 * block)) & U64(255)).astype(np.int64)
-            start, size = self.offsets[block][value], np.diff(self.offsets[block])[value]
-            query = np.repeat(np.arange(len(prints)), size)
-            at = np.arange(len(query)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-            item = self.items[block][at]
-            near = np.bitwise_count(prints[query] ^ self.prints[item]) <= RADIUS
-            found.append(query[near] * len(self.prints) + item[near])
+        prints = np.ascontiguousarray(prints, "<u8").reshape(-1, 2)
+        halves, blocks, own = prints.view("<u2"), prints.view("<u4"), self.prints.view("<u4")
+        found = [np.zeros(0, np.int64)]
+        for half in range(2 * BLOCKS):
+            value = halves[:, half].astype(np.int64)
+            start = self.offsets[half][value]
+            size = self.offsets[half][value + 1] - start
+            upto = np.cumsum(size)
+            cuts = [0, *np.flatnonzero(np.diff(upto // PAIRS)) + 1, len(prints)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some = size[a:b]
+                query = np.repeat(np.arange(a, b), some)
+                at = np.arange(len(query)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(start[a:b], some)
+                item = self.items[half][at].astype(np.int64)
+                self.looked += len(query)
+                near = np.bitwise_count(blocks[query, half // 2] ^ own[item, half // 2]) <= sum(HALVES) + 1
+                query, item = query[near], item[near]
+                self.tested += len(query)
+                near = np.bitwise_count(prints[query] ^ self.prints[item]).sum(axis=1) <= RADIUS
+                found.append(query[near] * len(self.prints) + item[near])
         pairs = np.unique(np.concatenate(found))
-        return pairs // len(self.prints), pairs % len(self.prints)
+        return pairs // max(len(self.prints), 1), pairs % max(len(self.prints), 1)
 
 
 class Benchmark:
@@ -103,7 +141,7 @@ class Benchmark:
                 by_size.setdefault(len(own), []).append(len(self.bags))
                 self.ids.append(item_id)
                 self.bags.append(shingle_hashes(own, np.array([0, len(own)]))[0])
-        self.sizes = {n: (np.array(own), HammingIndex(np.array([simhash(self.bags[i]) for i in own], U64))) for n, own in sorted(by_size.items())}
+        self.sizes = {n: (np.array(own), HammingIndex(np.stack([simhash(self.bags[i]) for i in own]))) for n, own in sorted(by_size.items())}
         self.index = HashIndex(np.unique(np.concatenate(self.bags)) if self.bags else np.zeros(0, U64))
         self.short = [n for n in self.sizes if n < SHINGLE]
 
@@ -128,28 +166,49 @@ class Benchmark:
         start = np.cumsum(counts) - counts
         pick = np.arange(counts.sum()) - np.repeat(start, counts) + np.repeat(at[rows], counts)
         runs, hit = runs[pick], hit[pick]
-        sums = np.zeros((len(runs) + 1, 64), np.int32)
-        np.cumsum(_bits(runs), axis=0, out=sums[1:])
         hits = np.concatenate([[0], np.cumsum(hit)])
-        place = np.arange(len(runs))
+        bags = np.concatenate([np.zeros(1, U64), np.cumsum(mix(runs ^ U64(0xA24BAED4963EE407)), dtype=U64)])  # the same difference: the same bag
         ends = (start + counts)[own]
-        for n, (items, index) in sizes.items():
-            span = n - width + 1  # shingles of a window
-            end = np.minimum(place + span, ends)
-            full = (end - place == span) | ((place == start[own]) & (counts[own] < span))
-            window = np.flatnonzero(full & (hits[end] > hits[place]))
-            if not len(window):
+        again = self._next_same(runs, own)
+        for c in range(0, len(runs), STEP):
+            longest = max(n - width + 1 for n in sizes)
+            last = min(c + STEP, len(runs))
+            if hits[min(last + longest, len(runs))] == hits[c]:
                 continue
-            prints = _pack(sums[end[window]] - sums[window] > 0)
-            for q, i in zip(*index.search(prints), strict=True):
-                a = window[q]
-                bag = self.bags[items[i]]
-                similarity = weighted_jaccard(runs[a : end[a]], bag)
-                if similarity >= self.threshold:
-                    row, first = int(rows[own[a]]), int(a - start[own[a]])
-                    found = (similarity, first, min(first + n, int(n_words[row])))
-                    if (key := (row, int(items[i]))) not in best or similarity > best[key][0]:
-                        best[key] = found
+            piece = runs[c : last + longest]
+            sums = np.zeros((len(piece) + 1, BITS), np.int16 if longest < 1 << 15 else np.int32)  # differences are right modulo 2**16
+            np.cumsum(_bits(piece), axis=0, dtype=sums.dtype, out=sums[1:])
+            place = np.arange(c, last)
+            for n, (items, index) in sizes.items():
+                span = n - width + 1  # shingles of a window
+                end = np.minimum(place + span, ends[place])
+                full = (end - place == span) | ((place == start[own[place]]) & (counts[own[place]] < span))
+                window = np.flatnonzero(full & (hits[end] > hits[place]))
+                if not len(window):
+                    continue
+                bag = np.stack([own[place[window]].astype(U64), bags[end[window]] - bags[place[window]]], axis=1)
+                window = window[np.sort(np.unique(bag, axis=0, return_index=True)[1])]
+                a, e = place[window], end[window]
+                prints = _pack(sums[e - c] - sums[a - c] > 0)
+                for i in np.flatnonzero(again[a] < e):  # a shingle occurs twice in the window
+                    prints[i] = simhash(runs[a[i] : e[i]])
+                for q, i in zip(*index.search(prints), strict=True):
+                    similarity = weighted_jaccard(runs[a[q] : e[q]], self.bags[items[i]])
+                    if similarity >= self.threshold:
+                        row, first = int(rows[own[a[q]]]), int(a[q] - start[own[a[q]]])
+                        found = (similarity, first, min(first + n, int(n_words[row])))
+                        key = (row, int(items[i]))
+                        if key not in best or similarity > best[key][0]:
+                            best[key] = found
+
+    @staticmethod
+    def _next_same(runs: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each place the least place from there on at which a shingle of the same text, from there on too, stands again."""
+        order = np.lexsort((np.arange(len(runs)), runs, own))
+        after = np.full(len(runs), len(runs) + 1)
+        same = (runs[order[1:]] == runs[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+        after[order[:-1][same]] = order[1:][same]
+        return np.minimum.accumulate(after[::-1])[::-1]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
