@@ -516,7 +516,7 @@ def test_neighbours_in_many_cells_are_found_without_looking_at_most_vectors(spar
     x[:6000] = centres[0] + 1e-4 * rng.standard_normal((6000, 48))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
     recall, share = neighbour_recall(as_table(spark, x, f"{tmp_path}/v.parquet"), x, every=400)
-    assert recall >= 0.9 and share < 0.1, (recall, share)
+    assert recall >= 0.9 and share < 0.2, (recall, share)
 
 
 def test_neighbours_of_unclustered_vectors(spark, tmp_path):
