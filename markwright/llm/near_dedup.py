@@ -9,10 +9,16 @@ A text that repeats a shingle has a second signature, of the same shingles with
 with the plain Jaccard similarity; for all other texts the two are the same.
 
 Equal texts are collapsed first.  Texts that share a hash of a band of either signature meet in a bucket.  All pairs of a
-bucket are never listed: a text is first verified against the least doc_id it meets.  Then, in buckets that
-still hold several groups, the texts outside the bucket's largest group are compared with all others by
-their signatures: both sides travel as packed blocks of about ``PACK`` texts, and a pair is listed only once, in the bucket
-of the least hash it shares, and only if its texts are of different groups and the weighted or the plain signatures agree in
+bucket are never listed: a text is first verified against the least doc_id it meets.
+
+The texts of buckets that still hold several groups are bucketed again, by their rarest shingles.  Let all shingles be ordered by frequency.  Two
+texts of plain similarity 0.8 share a shingle that is among the first 1/9 of the smaller one's and the first 1/5 of the larger one's, and
+two of probability Jaccard similarity 0.8 one among the first fifth of the weight of both (as the similarity is at most the sum of the lesser
+shares of each shingle); so nothing is lost, and texts that have in common what a whole family has, but not 0.8, do not meet.
+Frequencies are counts in ``SLOTS`` slots of hashes; any order would be right, a better one only makes fewer texts meet.
+In these buckets the texts outside the largest group are compared with the others by
+their signatures: both sides travel as packed blocks of about ``PACK`` texts, and a pair is listed
+only if its texts are of different groups and the weighted or the plain signatures agree in
 ``ESTIMATE`` of the components or more.  At similarity 0.8, of either kind, they do with probability 0.9996; the listed pairs are verified exactly.
 
 Two texts are linked if their probability Jaccard similarity, or the plain Jaccard similarity of their shingle
@@ -42,7 +48,7 @@ BANDS, ROWS = 32, 7
 THRESHOLD = 0.8
 ESTIMATE = 0.71
 PACK = 512
-BROADCAST_IDS = 300_000
+SLOTS = 1 << 18
 
 
 def weighted_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,24 +125,23 @@ def _bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, shingles, weights (empty if all are 1), marks: a byte for each component of the signature and the bands' hashes,
-    then the same of the plain signature if it differs."""
+    """doc_id, shingles, weights (empty if all are 1), marks: a byte for each component of the signature,
+    then of the plain signature if it differs."""
     for part in parts:
         texts = part.column("text").to_pylist()
         columns: list[list[bytes]] = [[], [], []]
         for a, b in batches(texts, 1 << 19):
             s, w, at = weighted_shingles(texts[a:b])
-            signature = signatures(s, w, at)
-            own, bands = mix(signature).astype(np.uint8), band_hashes(signature).astype("<i8")
+            own = mix(signatures(s, w, at)).astype(np.uint8)
             for i in range(b - a):
                 some = w[at[i] : at[i + 1]]
                 columns[0].append(s[at[i] : at[i + 1]].astype("<u8").tobytes())
                 columns[1].append(b"" if some.max(initial=1) == 1 else some.astype("<f4").tobytes())
-                columns[2].append(own[i].tobytes() + bands[i].tobytes())
+                columns[2].append(own[i].tobytes())
             repeats, plain = plain_signatures(s, w, at)
-            own, bands = mix(plain).astype(np.uint8), band_hashes(plain).astype("<i8")
+            own = mix(plain).astype(np.uint8)
             for k, i in enumerate(repeats.tolist()):
-                columns[2][i - (b - a)] += own[k].tobytes() + bands[k].tobytes()
+                columns[2][i - (b - a)] += own[k].tobytes()
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "shingles", "weights", "marks"])
 
 
@@ -253,51 +258,120 @@ def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = BANDS * ROWS
 
     def unpack(block: list[dict]) -> tuple[np.ndarray, ...]:
-        whole = 2 * (size + 8 * BANDS)
-        marks = np.frombuffer(b"".join(x["marks"] if len(x["marks"]) == whole else x["marks"] * 2 for x in block), np.uint8).reshape(len(block), 2, -1)
-        repeats = np.array([len(x["marks"]) == whole for x in block])
-        return np.array([x["doc"] for x in block]), np.array([x["label"] for x in block]), repeats, marks[:, :, :size], marks[:, :, size:].copy().view("<i8")
+        whole = 2 * size
+        marks = np.frombuffer(b"".join(x["marks"] if len(x["marks"]) == whole else x["marks"] * 2 for x in block), np.uint8).reshape(len(block), 2, size)
+        flags = np.array([[x["first"], x["plain"], x["mass"], len(x["marks"]) == whole, x["outside"]] for x in block], bool).T
+        return np.array([x["doc"] for x in block]), np.array([x["label"] for x in block]), marks, flags
 
     for part in parts:
         found: list[tuple[int, int]] = []
-        for bucket, out, every in zip(*(part.column(c) for c in ("bucket", "out", "every")), strict=True):
-            key, others = bucket.as_py(), every.as_py()
-            ids, labels, repeats, signs, bands = unpack(others)
-            outside = np.array([x["outside"] for x in others])
-            for doc, label, repeat, sign, band in zip(*unpack(out.as_py()), strict=True):
-                todo = np.flatnonzero((labels != label) & ~(outside & (ids < doc)))  # of two outsiders the lesser looks
+        for out, every in zip(*(part.column(c) for c in ("out", "every")), strict=True):
+            ids, labels, signs, (first, plain, mass, heavy, outside) = unpack(every.as_py())
+            own, own_labels, own_signs, own_flags = unpack(out.as_py())
+            for doc, label, sign, (f, p, m, h, _) in zip(own, own_labels, own_signs, own_flags.T, strict=True):
+                may = (first & p) | (plain & f) | ((heavy | h) & mass & m)
+                todo = np.flatnonzero(may & (labels != label) & ~(outside & (ids < doc)))  # of two outsiders the lesser looks
                 close = (signs[todo, 0] == sign[0]).sum(axis=1) >= ESTIMATE * size
-                more = np.flatnonzero(~close & (repeats[todo] | repeat))
+                more = np.flatnonzero(~close & (heavy[todo] | h))
                 close[more] = (signs[todo[more], 1] == sign[1]).sum(axis=1) >= ESTIMATE * size
-                near = todo[close]
-                # either signature of one text may meet either of the other
-                shared = np.concatenate([np.where(bands[near, i] == band[j], band[j], np.iinfo(np.int64).max) for i in (0, 1) for j in (0, 1)], axis=1)
-                found += [(min(doc, x), max(doc, x)) for x in ids[near[shared.min(axis=1) == key]].tolist()]
+                found += [(min(doc, x), max(doc, x)) for x in ids[todo[close]].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _unsettled(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups that share a bucket and have similar signatures."""
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each slot occur in the texts: ``SLOTS`` numbers, whatever the input."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for part in parts:
+            for own in _views(part.column("shingles"), "<u8"):
+                total += np.bincount(_slots(own), minlength=SLOTS) if len(own) > SLOTS // 16 else 0
+                if len(own) <= SLOTS // 16:
+                    np.add.at(total, _slots(own), 1)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["slot", "n"])
+
+    told = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    return out
+
+
+def rarest(shingles: np.ndarray, weights: np.ndarray, frequency: np.ndarray, threshold: float) -> tuple[np.ndarray, int, int, int]:
+    """(shingles in order of frequency, how many of them are first, plain and mass): the places that two similar texts share one of."""
+    order = np.lexsort((shingles, frequency[_slots(shingles)]))
+    n = len(shingles)
+    first = n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+    plain = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    upto = np.cumsum(weights[order])
+    mass = int(np.searchsorted(upto, (1 - threshold) * upto[-1] * (1 + 1e-9), "right")) + 1 if n else 0
+    return shingles[order], first, plain, min(mass, n)
+
+
+def _rare_buckets(frequency, threshold: float):
+    """doc, label, bucket, first, plain, mass, heavy of the rarest shingles of rows (doc, label, shingles, weights)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = frequency.value
+        for part in parts:
+            columns: list[list] = [[] for _ in range(7)]
+            for doc, label, s, w in zip(part.column("doc").to_numpy(), part.column("label").to_numpy(), _views(part.column("shingles"), "<u8"), _views(part.column("weights"), "<f4"), strict=True):
+                if len(s):
+                    own, first, plain, mass = rarest(s, w.astype(float) if len(w) else np.ones(len(s)), counts, threshold)
+                    n = max(first, plain, mass)
+                    place = np.arange(n)
+                    for column, values in zip(columns, (np.full(n, doc), np.full(n, label), own[:n].astype(np.int64), place < first, place < plain, place < mass, np.full(n, len(w) > 0)), strict=True):
+                        column.append(values)
+            kinds = [pa.int64()] * 3 + [pa.bool_()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), t) if c or t == pa.int64() else pa.array([], t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "label", "bucket", "first", "plain", "mass", "heavy"])
+
+    return run
+
+
+def _meetings(members: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Who meets whom: bucket, doc, label, first, plain, mass, heavy, n, main for the buckets of rare shingles that hold texts of several groups."""
     named = members.select("bucket", "doc").join(groups.select(F.col("node").alias("doc"), "label"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
-    held = named.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("groups"), F.max_by("label", F.struct("count", "label")).alias("main"))
-    open_ = named.join(held.where("groups > 1"), "bucket").join(sets.select(F.col("doc_id").alias("doc"), "marks"), "doc")
-    open_ = open_.withColumns({"outside": F.col("label") != F.col("main"), "block": F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PACK)).cast("int")})
-    packed = F.collect_list(F.struct("doc", "label", "outside", "marks"))
-    out = open_.where("outside").groupBy("bucket", "block").agg(packed.alias("out")).drop("block")
-    every = open_.groupBy("bucket", "block").agg(packed.alias("every")).drop("block")
-    return out.join(every, "bucket").mapInArrow(_alike, "a long, b long")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    open_ = materialize(named.join(mixed, "bucket").select("doc", "label").distinct(), "open-texts")
+    own = sets.withColumnRenamed("doc_id", "doc").select("doc", "shingles", "weights").join(open_, "doc")
+    frequency = sets.sparkSession.sparkContext.broadcast(_frequencies(own))  # SLOTS numbers
+    rare = materialize(own.select("doc", "label", "shingles", "weights").mapInArrow(_rare_buckets(frequency, threshold), "doc long, label long, bucket long, first boolean, plain boolean, mass boolean, heavy boolean"), "rare-shingles")
+    # the least and the largest label tell whether there are several; a bucket needs a text that can be the smaller one, or a weighted one
+    several = rare.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("first").alias("f"), F.max(F.col("heavy") & F.col("mass")).alias("h"), F.count(F.lit(1)).alias("n"))
+    kept = rare.join(several.where("a < b AND (f OR h)").select("bucket", "n"), "bucket")
+    kept = materialize(kept, "rare-buckets")
+    main = kept.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    return kept.join(main, "bucket")
+
+
+def _blocks(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """out, every: blocks of texts to compare.  Texts that can only be the larger one meet only those that can be the smaller one, or weighted ones."""
+    marked = met.join(sets.select(F.col("doc_id").alias("doc"), "marks"), "doc")
+    marked = marked.withColumns({"outside": F.col("label") != F.col("main"), "lead": F.col("first") | F.col("heavy"), "block": F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PACK)).cast("int")})
+    packed = F.collect_list(F.struct("doc", "label", "outside", "first", "plain", "mass", "marks"))
+    out = marked.where("outside").groupBy("bucket", "lead", "block").agg(packed.alias("out")).select("bucket", F.col("lead").alias("_lead"), "out")
+    every = marked.groupBy("bucket", "lead", "block").agg(packed.alias("every")).drop("block")
+    return out.join(every, "bucket").where("_lead OR lead").select("out", "every")
+
+
+def _unsettled(members: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of different groups that share a rare shingle and have similar signatures."""
+    return _blocks(_meetings(members, groups, sets, threshold), sets).mapInArrow(_alike, "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
-    ids = members.select(F.col("doc").alias("doc_id")).distinct()
-    count = ids.count()
-    if not count:
+    ids = materialize(members.select(F.col("doc").alias("doc_id")).distinct(), "bucketed")
+    if not ids.limit(1).count():
         return None
-    some = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    some = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id", "left_semi")
     sets = materialize(some.mapInArrow(_shingle_sets, "doc_id long, shingles binary, weights binary, marks binary"), "shingles")
     pairs = members.where("doc <> least").groupBy(F.col("doc").alias("b")).agg(F.min("least").alias("a"))
     groups = _merge(None, materialize(verified(pairs, sets, threshold).distinct(), "links"))
-    rest = materialize(_unsettled(members, groups, sets), "unsettled")
+    rest = materialize(_unsettled(members, groups, sets, threshold), "unsettled")
     links = materialize(verified(rest, sets, threshold).distinct(), "links")
     return _merge(groups, links) if links.limit(1).count() else groups
 
@@ -309,8 +383,8 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     holds the same text, else they stay.
     """
     classes = materialize(near_duplicates(docs, threshold).where(F.col("doc_id").isNotNull()), "classes")
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    gone = materialize(classes.where("class_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     repeated = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.limit(1).count():
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
