@@ -167,72 +167,26 @@ def test_plain_jaccard_pairs_with_unlike_repeats_are_linked(spark):
     assert all(found[d] == g[0] for g in groups for d in g)
 
 
-def open_buckets(spark, texts):
-    """members, groups, sets as they are before the texts of mixed buckets are settled, with no links found."""
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = docs.mapInArrow(near_dedup._shingle_sets, "doc_id long, shingles binary, weights binary, marks binary")
-    bands = docs.selectExpr("doc_id", "text", "unhex(md5(text)) AS key").mapInArrow(near_dedup._bands, "doc_id long, key binary, bands array<long>")
-    return bands.selectExpr("doc_id AS doc", "explode(bands) AS bucket").distinct(), spark.createDataFrame([], "node long, label long"), sets
-
-
 def test_the_signature_test_lists_plain_pairs_of_open_buckets_once(spark):
     rng = random.Random(5)
     texts = []
     for g in range(20):
         base = [f"w{rng.randrange(10**7)}" for _ in range(64)]
         texts += [" ".join(base), " ".join(base + [f"r{g}_{i}" for i in range(6)] * 50)]
-    assert sorted(tuple(r) for r in near_dedup._unsettled(*open_buckets(spark, texts)).collect()) == [(i, i + 1) for i in range(0, 40, 2)]
-
-
-@pytest.mark.parametrize("weighted", [False, True])
-def test_similar_texts_share_a_rare_shingle(weighted):
-    """The places that ``rarest`` names, for pairs of every overlap and any order of the shingles."""
-    rng = np.random.default_rng(6)
-    met = {}
-    for case in range(4000):
-        n = int(rng.integers(1, 40))
-        extra, less = rng.integers(0, 8, 2)
-        every = rng.integers(1, 2**63, n + extra, dtype=np.int64).astype(np.uint64)
-        a, b = np.sort(every[:n]), np.sort(every[min(less, n - 1) :])
-        w = dict(zip(every.tolist(), 1 + np.log2(rng.integers(1, 9, n + extra)) * weighted, strict=True))
-        wa, wb = (np.array([w[x] * (rng.choice([1, 1, 2]) if weighted else 1) for x in t.tolist()]) for t in (a, b))
-        p, plain = near_dedup.probability_jaccard(a, wa, b, wb)
-        if max(p, plain) >= 0.8:
-            frequency = rng.integers(0, 5, near_dedup.SLOTS)
-            (x, fx, px, mx), (y, fy, py, my) = (near_dedup.rarest(t, v, frequency, 0.8) for t, v in ((a, wa), (b, wb)))
-            cut = lambda t, k: set(t[:k].tolist())
-            shared = bool(cut(x, fx) & cut(y, py) or cut(x, px) & cut(y, fy)) if plain >= 0.8 else True
-            shared &= bool(cut(x, mx) & cut(y, my)) if p >= 0.8 else True
-            met[shared] = met.get(shared, 0) + 1
-    assert set(met) == {True} and met[True] > 300
-
-
-def test_a_family_of_pages_below_the_threshold_meets_little(spark):
-    """Pages of one template, about 0.6 alike: what is compared grows as their number, not as its square."""
-    met = {}
-    for pages in (1000, 4000):
-        rng = random.Random(8)
-        base = [f"w{i}" for i in range(200)]
-        texts = []
-        for g in range(pages):
-            own = list(base)
-            for at in rng.sample(range(3, 200, 6), 5):
-                own[at] = f"p{g}_{at}"
-            texts.append(" ".join(own))
-        a, b = (set(shingles(words(t))) for t in texts[:2])
-        assert 0.55 < len(a & b) / len(a | b) < 0.7
-        members, groups, sets = open_buckets(spark, texts)
-        assert members.groupBy("bucket").count().agg({"count": "max"}).first()[0] > pages // 20  # plain bands do bring them together
-        rows = near_dedup._meetings(members, groups, sets).groupBy("bucket").agg(F.sum((F.col("label") != F.col("main")).cast("long")).alias("out"), F.count(F.lit(1)).alias("every"))
-        met[pages] = rows.agg(F.coalesce(F.sum(F.col("out") * F.col("every")), F.lit(0))).first()[0]
-    assert met[1000] <= 20 * 1000 and met[4000] <= 20 * 4000, met
-
-
-def test_near_duplicates_without_broadcasts(spark, docs):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = docs.mapInArrow(near_dedup._shingle_sets, "doc_id long, shingles binary, weights binary, marks binary")
+    bands = docs.selectExpr("doc_id", "text", "unhex(md5(text)) AS key").mapInArrow(near_dedup._bands, "doc_id long, key binary, bands array<long>")
+    members = bands.selectExpr("doc_id AS doc", "explode(bands) AS bucket").distinct()
+    groups = spark.createDataFrame([], "node long, label long")
+    assert sorted(tuple(r) for r in near_dedup._unsettled(members, groups, sets).collect()) == [(i, i + 1) for i in range(0, 40, 2)]
+
+
+def test_near_duplicates_without_broadcasts(spark, docs, monkeypatch):
     want = sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
     kept = sorted(r["doc_id"] for r in near_dedup.deduplicated(docs).collect())
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     try:
         assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect()) == want
         assert sorted(r["doc_id"] for r in near_dedup.deduplicated(docs).collect()) == kept
