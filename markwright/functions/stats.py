@@ -106,9 +106,14 @@ def value_counts(scores: DataFrame, by: list[str], score: str, positive: str) ->
 def auc(scores: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney with mid-ranks: the chance that a positive scores above a negative, ties half.  Null
     where one side is empty."""
+    return auc_of_counts(value_counts(scores, by or [], score, positive), by)
+
+
+def auc_of_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same from rows (score, pos, neg); a score may have several rows."""
     by = by or []
+    counts = counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counts = value_counts(scores, by, score, positive)
     wins = counts.withColumn("wins", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
     total = wins.groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return total.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg")))).drop("wins")

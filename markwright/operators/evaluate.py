@@ -65,5 +65,33 @@ def attack_report(attacked: DataFrame, originals: DataFrame, null: DataFrame, vo
         share(F.col("recalled")).alias("retrieval_recall_at_1"), *[share(F.col("status") == s).alias(f"registry_{s}") for s in ("exact", "normalized", "tampered", "unknown")],
         share(F.col("detected") | F.col("recalled") | (F.col("status") != "unknown")).alias("stack_attributed"), F.avg("best").alias("localization_mean_iou"), share(F.col("best") > 0.3).alias("localization_found_rate"),
     )
-    scored = rows.select("attack", "neg_log10_p", F.lit(True).alias("positive")).unionByName(rows.select("attack").distinct().crossJoin(null.select("neg_log10_p", F.lit(False).alias("positive"))))
-    return report.join(stats.auc(scored, "neg_log10_p", "positive", ["attack"]).select("attack", F.col("auc").alias("auc_hardened")), "attack")
+    # scores are counted before the null ones are repeated for each attack
+    hits = rows.groupBy("attack", "neg_log10_p").agg(F.count(F.lit(1)).alias("pos")).withColumn("neg", F.lit(0).cast("long"))
+    misses = null.groupBy("neg_log10_p").agg(F.count(F.lit(1)).alias("neg")).withColumn("pos", F.lit(0).cast("long"))
+    every = hits.unionByName(misses.join(F.broadcast(rows.select("attack").distinct()), F.lit(True)))  # as many attacks as the catalog has
+    area = stats.auc_of_counts(every.withColumnRenamed("neg_log10_p", "score"), ["attack"])
+    return report.join(area.select("attack", F.col("auc").alias("auc_hardened")), "attack")
+
+
+def human_windows(docs: DataFrame, n: int, words: int, seed: int = 0) -> DataFrame:
+    """doc_id (0 to ``n - 1``), text: ``n`` windows of ``words`` words that start at random places of the documents (doc_id, canon).
+
+    A window lies in one document and starts at any place with the same probability; documents of fewer words have one window of all they have.
+    """
+    sized = docs.where(F.col("canon") != "").withColumn("_w", F.filter(F.split("canon", rf"{text.SPACE}+"), lambda w: w != ""))
+    places = sized.withColumn("_n", F.greatest(F.size("_w") - words + 1, F.lit(1)).cast("long"))
+    # Efraimidis-Spirakis: the smallest -log(u) / weight; each of the n draws is the top-1 of its own hash
+    draw = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("draw")
+    u = lambda *more: (F.shiftrightunsigned(F.xxhash64("doc_id", "draw", *[F.lit(m) for m in (seed, *more)]), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    keyed = places.select("doc_id", "_n", draw).select("doc_id", "_n", "draw", (-F.log(u(1)) / F.col("_n")).alias("key"))
+    first = keyed.groupBy("draw").agg(F.min_by(F.struct("doc_id", "_n"), "key").alias("d"))
+    start = F.floor(u(2) * F.col("_n")).cast("int") + 1
+    picked = first.select("draw", F.col("d.doc_id").alias("doc_id"), F.col("d._n").alias("_n")).withColumn("_at", start)
+    joined = picked.join(sized.select("doc_id", "_w"), "doc_id")
+    return joined.select(F.col("draw").alias("doc_id"), F.array_join(F.slice("_w", F.col("_at"), F.lit(words)), " ").alias("text"))
+
+
+def distinct_rate(first: DataFrame, second: DataFrame) -> DataFrame:
+    """rate: the share of prompts whose texts differ between two runs (doc_id, ids)."""
+    both = first.select("doc_id", F.col("ids").alias("a")).join(second.select("doc_id", F.col("ids").alias("b")), "doc_id")
+    return both.agg(F.avg((~F.col("a").eqNullSafe(F.col("b"))).cast("double")).alias("rate"))

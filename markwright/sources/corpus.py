@@ -33,6 +33,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(registry.RECORD).parquet(path)
 
 
+def record(spark: SparkSession, path: str, id: int) -> DataFrame:
+    """The record with an id, as a table of one row or none."""
+    return records(spark, path).where(F.col("id") == id)
+
+
 def last_id(spark: SparkSession, path: str) -> int:
     return records(spark, path).agg(F.max("id")).first()[0] or 0
 
@@ -62,6 +67,12 @@ def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def has_tables(spark: SparkSession, folder: str, names: tuple[str, ...]) -> bool:
+    """Whether all of them were written to the end."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS") for name in names]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markwright.cli import build_model, demo
+from markwright.cli import build_model, demo, main
 from markwright.functions import ed25519, prf, text
 from markwright.operators import attacks, detect, evaluate, generate, ngrams, registry, retrieval, transport
 from markwright.operators.config import EXAMPLE_KEY, MarkConfig
@@ -325,7 +326,9 @@ def test_streams(spark, docs, model, tmp_path):
 
 
 def test_demo_report(spark, docs, tmp_path):
-    report = demo(spark, docs, MarkConfig(), 3, 120, str(tmp_path / "demo"), quick=True)
+    report, about = demo(spark, docs, MarkConfig(), 3, 120, str(tmp_path / "demo"), quick=True)
+    assert about["generation"]["distinct_outputs"] == 1 and about["null"]["n"] == 6 and len(about["null"]["scores"]) == 6
+    assert about["human_verdicts"] == {"unknown": 3} and len(about["samples"]) == 2 and about["config"]["alpha"] == 0.01
     rows = {r["attack"]: r for r in report.collect()}
     assert len(rows) == 5
     same = rows["identity"]
@@ -359,3 +362,32 @@ def test_the_couplings_query_has_every_token_of_the_benchmark(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), F.posexplode(text.tokenize(F.col("text"))).alias("pos", "token"))
     found = [tuple(r) for r in catalog.QUERIES["transport_couplings"](spark, SF).select("doc_id", "pos").collect()]
     assert sorted(found) == sorted(tuple(r) for r in items.select("doc_id", "pos").collect())
+
+
+def test_human_windows_are_spread_over_all_places(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(400))), (2, " ".join(f"b{i}" for i in range(100))), (3, "c0 c1"), (4, "")], "doc_id long, canon string")
+    found = [r["text"].split() for r in evaluate.human_windows(docs, 600, 20).collect()]
+    assert len(found) == 600
+    held = Counter(w[0][0] for w in found)
+    assert 0.74 < held["a"] / 600 < 0.88 and 0.1 < held["b"] / 600 < 0.24  # 381 and 81 places of 463
+    assert all(len(w) == (2 if w[0][0] == "c" else 20) for w in found) and len({w[0] for w in found}) > 250
+    assert [r["text"] for r in evaluate.human_windows(docs, 9, 20).orderBy("doc_id").collect()] == [" ".join(w) for w in (r["text"].split() for r in evaluate.human_windows(docs.repartition(3), 9, 20).orderBy("doc_id").collect())]
+
+
+def test_command_line(spark, docs, tmp_path, capsys):
+    few = docs.where("doc_id < 40")
+    few.write.parquet(f"{tmp_path}/few.parquet")
+    table, key = f"{tmp_path}/few.parquet", bytes(range(32)).hex()
+    assert main(["keygen"]) == 0 and len(bytes.fromhex(capsys.readouterr().out.strip())) == 32
+    args = ["--corpus", table, "--key-hex", key, "--model", f"{tmp_path}/tables"]
+    assert main(["generate", *args, "--tokens", "160", "--prompt", "the of", "--temperature", "1.1", "--top-p", "0.98"]) == 0
+    body = capsys.readouterr().out
+    (tmp_path / "body.txt").write_text(body)
+    assert main(["detect", *args, "--file", f"{tmp_path}/body.txt"]) == 0
+    assert json.loads(capsys.readouterr().out)["detected"]
+    assert main(["localize", *args, "--file", f"{tmp_path}/body.txt", "--window", "60", "--stride", "15"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["n_windows"] > 1 and found["segments"]
+    for bad in (["detect", "--corpus", table], ["generate", "--corpus", table, "--key-hex", key, "--backend", "nothing"]):
+        with pytest.raises((SystemExit, ValueError)):
+            main(bad)
