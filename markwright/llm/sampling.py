@@ -64,8 +64,9 @@ def stratified_sample(rows: DataFrame, by: str, key: Column, seed: int, max_rows
         left, groups = left - size * many, groups - many
         quota = float("inf")
     ranked = rows.withColumn("rank", F.xxhash64(key, F.lit(seed)))
-    rate = F.least(F.lit(1.0), F.lit(quota) / F.col("count"))
     place = F.col("rank").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    own = sizes.withColumnRenamed(by, "_group")
-    kept = ranked.join(own, F.col(by).eqNullSafe(F.col("_group"))).where(place < rate)
+    own = sizes.where(F.col("count") > quota).withColumnRenamed(by, "_group")
+    if quota >= 1:
+        own = F.broadcast(own)  # at most max_rows / quota groups are larger than the quota, so rows need not move
+    kept = ranked.join(own, F.col(by).eqNullSafe(F.col("_group")), "left").where(place < F.coalesce(F.lit(quota) / F.col("count"), F.lit(2.0)))
     return at_most_repeats(kept.drop("_group", "count"), "rank")
