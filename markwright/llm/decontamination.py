@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from markwright.llm.hashing import SHINGLE, U64, HashIndex, batches, mix, shingle_hashes, token_hashes
 from markwright.llm.sampling import bounded_batches
 
-ITEMS = 2_000  # the index of an item takes some 26 kB
+ITEMS = 2_000  # the index of an item takes some 51 kB
 BITS = 128
 BLOCKS = 4
 HALVES = (4, 3)  # bits that the halves of a block may differ in; the block in their sum and 1 more
 RADIUS = BLOCKS * (sum(HALVES) + 1) + BLOCKS - 1
 THRESHOLD = 0.8
 STEP = 1 << 14  # shingles worked on at once
-PAIRS = 1 << 20  # lookups held at once
+PAIRS = 1 << 17  # lookups held at once
 
 
 def _bits(elements: np.ndarray) -> np.ndarray:
@@ -86,18 +86,19 @@ def _within(bits: int) -> np.ndarray:
 
 
 class HammingIndex:
-    """Fingerprints by half block, under all values that a near fingerprint may have there."""
+    """Fingerprints by half block, under all values that a near fingerprint may have there.  The values are kept sorted, so
+    the index takes memory for its items only, however few of them share a length."""
 
     def __init__(self, prints: np.ndarray) -> None:
         self.prints = np.ascontiguousarray(prints, "<u8").reshape(-1, 2)
         halves, kind = self.prints.view("<u2"), np.uint16 if len(self.prints) < 1 << 16 else np.int32
-        self.offsets, self.items = [], []
+        self.values, self.items = [], []
         for half in range(2 * BLOCKS):
             near = _within(HALVES[half % 2])
             value = (halves[:, half][:, None] ^ near[None, :]).ravel()
             order = np.argsort(value, kind="stable")
             self.items.append((order // len(near)).astype(kind))
-            self.offsets.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]))
+            self.values.append(value[order])
         self.looked = self.tested = 0  # pairs that lookups gave, and pairs that the block test left
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +107,8 @@ class HammingIndex:
         halves, blocks, own = prints.view("<u2"), prints.view("<u4"), self.prints.view("<u4")
         found = [np.zeros(0, np.int64)]
         for half in range(2 * BLOCKS):
-            value = halves[:, half].astype(np.int64)
-            start = self.offsets[half][value]
-            size = self.offsets[half][value + 1] - start
+            start = np.searchsorted(self.values[half], halves[:, half], "left")
+            size = np.searchsorted(self.values[half], halves[:, half], "right") - start
             upto = np.cumsum(size)
             cuts = [0, *np.flatnonzero(np.diff(upto // PAIRS)) + 1, len(prints)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
