@@ -152,3 +152,13 @@ def test_pipeline_stages(docs, empty, labels, benchmark, tmp_path, spark):
         assert stage(spark, empty, folder).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == len(ROWS)
     assert "shard" in corpus_pipeline.run(spark, folder).columns
+
+
+def test_near_duplicates_without_broadcasts(docs, monkeypatch):
+    """The joins of large inputs, which move rows, give what the broadcasts of small ones give."""
+    twins = docs.sparkSession.createDataFrame([(20, PASSAGE + " at the end", "en", "a", 1), (21, PASSAGE[6:] + " at the end", "en", "a", 1)], SCHEMA)
+    rows = docs.unionByName(twins)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", -1)
+    classes = {(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(rows).collect()}
+    assert {c for d, c in classes if d in (1, 2, 20, 21)} == {1}
+    assert sorted(r["doc_id"] or 0 for r in near_dedup.deduplicated(rows).collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
