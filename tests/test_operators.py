@@ -64,6 +64,32 @@ def test_position_scores_match_numpy(spark):
             assert got[d, p] == (None if y is None else pytest.approx(y, rel=1e-12))
 
 
+def test_documents_are_scored_where_they_lie(spark):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 4, n).tolist() for n in (0, 2, 3, 119, 120, 121, 450, 700)] + [[2**31 - 1, 7] * 5]
+    lists = spark.createDataFrame(list(enumerate(texts)), "doc_id long, ids array<int>").coalesce(1)
+    slow = [slow_scores(ids) for ids in texts]
+    totals, windows = detect.document_scores(lists, EXAMPLE_KEY), detect.document_windows(lists, EXAMPLE_KEY)
+    for r in totals.collect():
+        own = [y for y in slow[r["doc_id"]] if y is not None]
+        assert (r["n_tokens"], r["n_scored"]) == (len(texts[r["doc_id"]]), len(own)) and r["statistic"] == pytest.approx(sum(own), rel=1e-12)
+    found = windows.collect()
+    for r in found:
+        own = [y for y in slow[r["doc_id"]][r["start"] : r["end"]] if y is not None]
+        assert r["n_scored"] == len(own) and r["statistic"] == pytest.approx(sum(own), rel=1e-12)
+        assert r["_send"] - r["_sbefore"] == pytest.approx(sum(own), rel=1e-9) and r["_cend"] - r["_cbefore"] == len(own)
+    key = lambda rows: sorted((r["doc_id"], r["start"], r["end"], r["n_windows"], r["n_scored"], round(r["statistic"], 9)) for r in rows)
+    assert key(found) == key(detect.windows(detect.position_scores(lists, EXAMPLE_KEY)).collect())
+    assert {(r["doc_id"], r["pos"]) for r in detect.scored_positions(lists, ["u"], EXAMPLE_KEY).collect()} == {(d, p) for d, ys in enumerate(slow) for p, y in enumerate(ys) if y is not None}
+    assert list(detect._runs(np.array([3, 0, 9, 1, 1]), 4)) == [(0, 2, 0, 3), (2, 3, 3, 12), (3, 5, 12, 14)]
+
+
+def test_positions_are_not_shuffled(spark):
+    for name in ("prf_seeds", "prf_block_column", "prf_cost_uniform", "context_first_occurrence", "position_scores", "localize_windows", "bigram_counts"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == (name == "bigram_counts"), name
+
+
 def test_documents_without_scores(spark, model):
     texts = spark.createDataFrame([(1, ""), (2, "one two"), (3, None)], "doc_id long, text string")
     found = evaluate.detect_table(texts, model[0], EXAMPLE_KEY).collect()
