@@ -186,8 +186,7 @@ def main(argv: list[str] | None = None) -> int:
         print(found.toJSON().first())
     else:
         canon = ngrams.canonical_docs(one) if not args.no_canonicalize else one.select("doc_id", F.col("text").alias("canon"))
-        rows = ngrams.encode_lists(ngrams.token_lists(canon), vocab)
-        windows = materialize(detect.document_windows(rows, key, _config(args), args.window, args.stride), "windows")
+        windows = materialize(detect.document_windows(ngrams.token_lists(canon), key, _config(args), args.window, args.stride, vocab), "windows")
         found = detect.with_text(detect.segments(windows, args.window, args.alpha), canon)
         print(json.dumps({"n_windows": windows.count(), "segments": [json.loads(r) for r in found.toJSON().collect()]}))
     return 0

@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1_000
-BATCH_BYTES = 16 << 20
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-REPEATS = 16
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes.
+from markwright.session import bounded_batches as bounded_batches
 
-    A batch holds whole texts, in the JVM's direct memory and again in the worker; the defaults are made for narrow
-    rows.  Lower settings of the session are kept.  The settings are read when a plan runs, after the operator has returned
-    it, so they stay in the session.
-    """
-    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
-    told = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES).replace("-1", "0"))
-    if not 0 < told <= BATCH_BYTES:
-        spark.conf.set(_BYTES, str(BATCH_BYTES))
+REPEATS = 16
 
 
 def at_most_repeats(rows: DataFrame, key: str, repeats: int = REPEATS) -> DataFrame:
