@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions import ed25519, text
@@ -20,19 +20,20 @@ DIFF = "array<struct<op:string,original:string,suspect:string,orig_tokens:struct
 SALTS = 1024
 
 
-def assign_ids(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
+def assign_ids(rows: DataFrame, order: list[str], start: int = 0, derived: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``id`` from ``start + 1`` on in the given order, without sorting all rows in one task.
 
     Rows are range-partitioned and sorted, and each is written once with the number of its task and its place in it; ids
     are then worked out from what was written, by the rows of the tasks before.  Rows that agree in all columns of
-    ``order`` are numbered in any order; a salt spreads them over tasks.
+    ``order`` are numbered in any order; a salt spreads them over tasks.  ``rows`` are worked out twice, the first time for the
+    ranges; costly columns are better ``derived``, once, from the written rows.
     """
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
     placed = rows.withColumn("_salt", salt).repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
     placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # task number in the upper 31 bits
     task = F.shiftright("_at", 33)
     counts = placed.groupBy(task.alias("_task")).count().withColumn("_ahead", F.sum("count").over(Window.orderBy("_task")) - F.col("count"))  # a row for each task
-    numbered = placed.withColumn("_task", task).join(F.broadcast(counts.drop("count")), "_task")
+    numbered = placed.withColumns({**(derived or {}), "_task": task}).join(F.broadcast(counts.drop("count")), "_task")
     own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.withColumn("id", F.lit(start + 1).cast("long") + F.col("_ahead") + own).drop("_at", "_task", "_ahead")
 
@@ -52,9 +53,8 @@ def register(rows: DataFrame, secret: bytes | None, created: str, model: str = "
     if secret is None:
         raise RuntimeError("registering needs a signing key")
     order = [c for c in rows.columns if c != "text"]
-    hashed = rows.withColumn("canonical_hash", text.canonical_hash(text.canonicalize(F.col("text"))))
-    numbered = assign_ids(hashed, order, start).withColumns({"model": F.lit(model), "created": F.lit(created)})
-    return signed(numbered, secret).select("id", "canonical_hash", "text", "model", "created", "signature")
+    hashed = assign_ids(rows, order, start, {"canonical_hash": text.canonical_hash(text.canonicalize(F.col("text")))})
+    return signed(hashed.withColumns({"model": F.lit(model), "created": F.lit(created)}), secret).select("id", "canonical_hash", "text", "model", "created", "signature")
 
 
 def first_by_hash(records: DataFrame) -> DataFrame:

@@ -66,6 +66,25 @@ def test_ed25519_vectors():
     assert ed25519.read_private_pem(ed25519.private_pem(s)) == s and "PUBLIC KEY" in ed25519.public_pem(ed25519.public_key(s))
 
 
+def test_ed25519_takes_multiples_from_tables(monkeypatch):
+    secret, p, order = bytes(range(32)), ed25519.P, ed25519.ORDER
+    for k in (0, 1, 255, 256, order - 1, 2**256 - 1, 3**150):
+        assert ed25519._pack(ed25519._multiple(k, ed25519._base_table())) == ed25519._pack(ed25519._times(k, ed25519.BASE))
+    public, signature = ed25519.public_key(secret), ed25519.sign(secret, b"m")
+    assert ed25519.verify(public, b"m", signature)
+    monkeypatch.setattr(ed25519, "_times", None)  # no multiple is worked out bit by bit for a key that was seen
+    monkeypatch.setattr(ed25519, "_add", None)
+    for i in range(20):
+        message = bytes([i]) * i
+        signature = ed25519.sign(secret, message)
+        assert ed25519.verify(public, message, signature) and not ed25519.verify(public, message + b"x", signature)
+        late = int.from_bytes(signature[32:], "little") + order
+        assert not ed25519.verify(public, message, signature[:32] + late.to_bytes(32, "little"))
+    monkeypatch.undo()
+    one, other = (1).to_bytes(32, "little"), (p + 1).to_bytes(32, "little")  # the neutral point, and bytes that only reduce to it
+    assert ed25519.verify(one, b"m", one + bytes(32)) and not ed25519.verify(one, b"m", other + bytes(32)) and not ed25519.verify(other, b"m", one + bytes(32))
+
+
 def erlang(s, n):
     return sum(math.exp(-s + k * math.log(s) - math.lgamma(k + 1)) for k in range(n)) if s > 0 else 1.0
 

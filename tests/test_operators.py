@@ -90,6 +90,11 @@ def test_positions_are_not_shuffled(spark):
         assert "Window" not in plan and plan.count("Exchange") == (name == "bigram_counts"), name
 
 
+def test_records_are_hashed_once_after_they_are_numbered(spark):
+    plan = catalog.QUERIES["sign_records"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 3 and plan.count("ArrowEvalPython [_nfkc") == 1  # the three of one canonical form
+
+
 def test_documents_without_scores(spark, model):
     texts = spark.createDataFrame([(1, ""), (2, "one two"), (3, None)], "doc_id long, text string")
     found = evaluate.detect_table(texts, model[0], EXAMPLE_KEY).collect()
