@@ -1,10 +1,12 @@
 import hashlib
 import json
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +320,27 @@ def test_dense_search_over_several_blocks_and_chunks(spark, monkeypatch):
     assert retrieval.dense_topk(rows.limit(0).withColumnRenamed("id", "qid"), rows).count() == 0
 
 
+def test_product_of_a_block_takes_little_memory():
+    tracemalloc.start()
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-3, 4, (16_384, 64)).astype(np.float32), rng.integers(-3, 4, (700, 64)).astype(np.float32)
+    x[5000:9000] = x[0]  # as many ties as one piece has rows
+    vectors = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float32()))
+    ids = rng.permutation(len(x))
+    rows, ask = pa.table({"id": ids, "vec": vectors(x)}), pa.table({"qid": np.arange(len(q)), "vec": vectors(q)})
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found = retrieval._product(ask, rows, 8)
+    assert tracemalloc.get_traced_memory()[1] - before < 120e6
+    tracemalloc.stop()
+    exact = q.astype(float) @ x.astype(float).T
+    for i in range(0, 700, 7):
+        assert found.column("id").to_numpy()[8 * i : 8 * i + 8].tolist() == ids[np.lexsort((ids, -exact[i]))[:8]].tolist()
+    assert retrieval._product(ask.slice(0, 0), rows, 8).num_rows == 0 == retrieval._product(ask, rows.slice(0, 0), 8).num_rows
+    with pytest.raises(ValueError, match="of one length"):
+        retrieval._product(ask, pa.table({"id": [1, 2], "vec": pa.array([[1.0], [1.0, 2.0]])}), 8)
+
+
 def test_another_embedder_plugs_in(spark):
     sents = spark.createDataFrame([(1, 0, "abc"), (2, 0, "z")], "doc_id long, sent_idx int, sentence string")
     vecs = {r["doc_id"]: r["vec"] for r in retrieval.embedded(sents, lambda texts: [[len(t), 1.0] for t in texts]).collect()}
