@@ -337,6 +337,11 @@ def test_product_of_a_block_takes_little_memory():
     for i in range(0, 700, 7):
         assert found.column("id").to_numpy()[8 * i : 8 * i + 8].tolist() == ids[np.lexsort((ids, -exact[i]))[:8]].tolist()
     assert retrieval._product(ask.slice(0, 0), rows, 8).num_rows == 0 == retrieval._product(ask, rows.slice(0, 0), 8).num_rows
+    wide = pa.table({"id": np.arange(3_000), "vec": vectors(rng.standard_normal((3_000, 4_096), np.float32))})  # sentence vectors, 49 MB
+    tracemalloc.start()
+    assert retrieval._product(wide.slice(0, 600).rename_columns(["qid", "vec"]), wide, 8).num_rows == 4_800
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
     with pytest.raises(ValueError, match="of one length"):
         retrieval._product(ask, pa.table({"id": [1, 2], "vec": pa.array([[1.0], [1.0, 2.0]])}), 8)
 
