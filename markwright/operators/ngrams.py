@@ -15,6 +15,9 @@ from markwright.functions import prf, text
 from markwright.operators.config import UNKNOWN, VOCAB_SIZE
 from markwright.session import bounded_batches
 
+COUNTED = 1 << 22  # trigrams that a worker counts together
+BITS = 21  # of a token's number in a trigram's code
+
 
 def canonical_docs(docs: DataFrame, compatibility: bool = True) -> DataFrame:
     """doc_id, canon: worked out once and shared by hashing, sentences and detection."""
@@ -118,17 +121,50 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("w1").isNotNull()).groupBy("w1", "w2", "w").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def context_totals(counts: DataFrame) -> DataFrame:
-    """Each context with the sum of its counts and its number of continuations."""
-    context = [c for c in counts.columns if c not in ("w", "cnt")]
-    return counts.groupBy(*context).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("types"))
+def trigram_counts_by_context(lists: DataFrame, vocab: DataFrame) -> DataFrame:
+    """:func:`trigram_counts` of :func:`token_lists`, dealt out by the two words of the context, so that what adds up by context needs no further exchange.
+
+    Workers count ``COUNTED`` trigrams at a time; only those counts are shuffled.
+    """
+    numbered = numbering(vocab)
+
+    def counted(codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, cnt = np.unique(np.concatenate(codes), return_counts=True)
+        words = [(found >> shift & (1 << BITS) - 1).astype(np.int32) for shift in (2 * BITS, BITS, 0)]
+        for at in range(0, len(found), 1 << 16):
+            yield pa.RecordBatch.from_arrays([*(pa.array(w[at : at + (1 << 16)]) for w in words), pa.array(cnt[at : at + (1 << 16)], pa.int64())], ["w1", "w2", "w", "cnt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held = [], 0
+        for batch in numbered(batches):
+            sizes = pc.list_value_length(batch.column("ids")).to_numpy()
+            ids = batch.column("ids").flatten().to_numpy().astype(np.int64)
+            if ids.max(initial=0) >> BITS:
+                raise ValueError(f"a vocabulary of more than {1 << BITS} tokens")
+            full = np.flatnonzero(np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= 2)
+            codes.append(ids[full - 2] << 2 * BITS | ids[full - 1] << BITS | ids[full])
+            held += len(full)
+            if held >= COUNTED:
+                yield from counted(codes)
+                codes, held = [], 0
+        if held:
+            yield from counted(codes)
+
+    parts = lists.select("doc_id", "tokens").mapInArrow(run, "w1 int, w2 int, w int, cnt long")
+    return parts.repartition("w1", "w2").groupBy("w1", "w2", "w").agg(F.sum("cnt").alias("cnt"))
+
+
+def _with_totals(counts: DataFrame) -> DataFrame:
+    """Counts with the totals of their context beside them; a context has as many rows as it has continuations, at most one for each token of the vocabulary."""
+    own = Window.partitionBy(*[c for c in counts.columns if c not in ("w", "cnt")])
+    return counts.withColumns({"total": F.sum("cnt").over(own), "types": F.count(F.lit(1)).over(own)})
 
 
 def interpolated_probs(bigrams: DataFrame, trigrams: DataFrame, unigrams: DataFrame, discount: float = 0.75) -> DataFrame:
     """w1, w2, w, p for every seen trigram: absolute discounting, trigram over bigram over unigram."""
-    two = bigrams.join(context_totals(bigrams), "w1").join(F.broadcast(unigrams.select(F.col("tok_id").alias("w"), F.col("p").alias("p1"))), "w")
+    two = _with_totals(bigrams).join(F.broadcast(unigrams.select(F.col("tok_id").alias("w"), F.col("p").alias("p1"))), "w")
     p2 = F.greatest(F.col("cnt") - discount, F.lit(0.0)) / F.col("total") + F.lit(discount) * F.col("types") / F.col("total") * F.col("p1")
     two = two.select(F.col("w1").alias("w2"), "w", p2.alias("p2"))
-    three = trigrams.join(context_totals(trigrams), ["w1", "w2"]).join(two, ["w2", "w"])
+    three = _with_totals(trigrams).join(two, ["w2", "w"])
     p3 = F.greatest(F.col("cnt") - discount, F.lit(0.0)) / F.col("total") + F.lit(discount) * F.col("types") / F.col("total") * F.col("p2")
     return three.select("w1", "w2", "w", p3.alias("p"))

@@ -97,6 +97,16 @@ def test_records_are_hashed_once_after_they_are_numbered(spark):
     assert plan.count("translate(") == 3 and plan.count("ArrowEvalPython [_nfkc") == 1  # the three of one canonical form
 
 
+def test_trigrams_are_dealt_out_once_by_context(spark, docs):
+    lists = ngrams.token_lists(docs.unionByName(spark.createDataFrame([(-1, None), (-2, "one two"), (-3, "")], "doc_id long, text string")), "text")
+    vocab = ngrams.vocabulary(ngrams.token_table(lists, None), 50)
+    counted = ngrams.trigram_counts_by_context(lists, vocab)
+    key = lambda df: sorted((r["w1"], r["w2"], r["w"], r["cnt"]) for r in df.collect())
+    assert key(counted) == key(ngrams.trigram_counts(ngrams.ngram_rows(ngrams.encode(ngrams.token_table(lists, None), vocab))))
+    plan = ngrams._with_totals(counted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(w1" in plan
+
+
 def test_documents_without_scores(spark, model):
     texts = spark.createDataFrame([(1, ""), (2, "one two"), (3, None)], "doc_id long, text string")
     found = evaluate.detect_table(texts, model[0], EXAMPLE_KEY).collect()
